@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, line_dedup, warc
+from . import bpe, chat, decontaminate, exact_dedup, line_dedup, minhash, substring_dedup, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "end_word", "edits", F.round("similarity", 6).alias("similarity"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -22,10 +27,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -62,6 +76,15 @@ WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY body)""",
+    "op6_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT doc_id, generate_subscripts(words, 1) AS pos, unnest(words) AS word, words FROM d),
+s AS (SELECT doc_id, pos, word, CASE WHEN pos + 19 <= len(words) THEN array_to_string(words[pos:pos + 19], ' ') END AS win FROM w),
+r AS (SELECT *, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) > 1 AS again FROM s),
+c AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS 19 PRECEDING) AS gone FROM r)
+SELECT d.doc_id, count(c.pos) AS n_words, count(c.pos) FILTER (gone) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id""",
     "op7_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM p)
@@ -71,6 +94,20 @@ SELECT page_id, strlen(body) AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f""",
+    "op8_minhash": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {LOWER}), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT min(doc_id) AS node, w FROM d GROUP BY w),
+s AS (SELECT DISTINCT node, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM n WHERE len(w) > 0),
+z AS (SELECT node, count(*) AS k FROM s GROUP BY node),
+e AS (SELECT p.a, p.b FROM (SELECT x.node AS a, y.node AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.node <> y.node GROUP BY ALL) p
+  JOIN z za ON za.node = a JOIN z zb ON zb.node = b WHERE c >= 0.8 * (za.k + zb.k - c)),
+r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+l AS (SELECT node, min(seen) AS label FROM r GROUP BY node),
+m AS (SELECT doc_id, label FROM d JOIN n USING (w) JOIN l USING (node))
+SELECT doc_id, min(doc_id) OVER (PARTITION BY label) AS class_id, count(*) OVER (PARTITION BY label) AS class_size,
+  doc_id = min(doc_id) OVER (PARTITION BY label) AS kept FROM m""",
     "op9_chat": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
