@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, stage
 
 SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 16384, 4096, 4096
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -85,7 +85,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segm
     rows = pages.select(F.col("page_id").cast("long"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " ").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", sha1_base32(F.col("payload")))
     order = F.struct(F.col("page_id").isNull().alias("last"), "page_id")
-    first = rows.groupBy("digest").agg(F.min(order).alias("first"))
+    first = stage(rows.groupBy("digest").agg(F.min(order).alias("first")), "first-payloads")
     rows = rows.join(first, "digest").select(
         "page_id", F.monotonically_increasing_id().alias("key"), "url", "payload", "digest", F.col("first.page_id").alias("first_id"),
         (~F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.octet_length("payload") >= min_revisit_bytes)).alias("revisit"),
@@ -182,8 +182,6 @@ def round_trip(pages: DataFrame, min_revisit_bytes: int = 0, segment_bytes: int
 
     kinds = PAYLOADS.replace("payload binary", "payload_bytes long, payload_digest string")
     rows = reassemble(read_records(spark, path)).mapInPandas(digests, kinds)
-    from .common import stage
-
     rows = stage(rows, "warc-payloads")
     found = rows.filter("record_type = 'response'")
     have = found.select(F.col("page_id").alias("_id"), "payload_bytes", "payload_digest").distinct()
@@ -191,7 +189,3 @@ def round_trip(pages: DataFrame, min_revisit_bytes: int = 0, segment_bytes: int
     again = again.join(have, again.refers_to.eqNullSafe(have["_id"]) & (again.declared == have.payload_digest))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return found.select(*columns).unionByName(again.select(*columns))
-
-
-def inline_digest(data: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(data).digest()).decode()
