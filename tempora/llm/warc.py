@@ -27,9 +27,9 @@ RECORDS = "record_id string, kind string, number int, origin string, total long,
 PAYLOADS = "page_id long, url string, record_type string, refers_to long, declared string, status string, payload binary"
 
 
-def sha1_base32(data: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1: each five hexadecimal digits are four letters."""
-    part = lambda g: F.conv(F.substring(F.sha1(data), g * 5 + 1, F.lit(5)), 16, 10).cast("int")
+def base32(sha1: Column) -> Column:
+    """Bare upper-case base32 of a hexadecimal SHA-1: each five digits are four letters."""
+    part = lambda g: F.conv(F.substring(sha1, g * 5 + 1, F.lit(5)), 16, 10).cast("int")
     letter = lambda v, k: F.substring(F.lit(BASE32), F.shiftright(v, 15 - 5 * k).bitwiseAND(31) + 1, F.lit(1))
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda g: F.concat(*[letter(part(g), k) for k in range(4)])), "")
 
@@ -83,11 +83,11 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segm
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " ").alias("url"), body.alias("payload"))
-    rows = rows.withColumn("digest", sha1_base32(F.col("payload")))
+    rows = rows.withColumn("sha1", F.sha1("payload"))
     order = F.struct(F.col("page_id").isNull().alias("last"), "page_id")
-    first = stage(rows.groupBy("digest").agg(F.min(order).alias("first")), "first-payloads")
-    rows = rows.join(first, "digest").select(
-        "page_id", F.monotonically_increasing_id().alias("key"), "url", "payload", "digest", F.col("first.page_id").alias("first_id"),
+    first = stage(rows.groupBy("sha1").agg(F.min(order).alias("first")), "first-payloads")
+    rows = rows.join(first, "sha1").select(
+        "page_id", F.monotonically_increasing_id().alias("key"), "url", "payload", base32(F.col("sha1")).alias("digest"), F.col("first.page_id").alias("first_id"),
         (~F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.octet_length("payload") >= min_revisit_bytes)).alias("revisit"),
     )
 
