@@ -43,21 +43,20 @@ def windowed_counts(stream: DataFrame, time: str, key: str, window: str = "1 hou
 
 
 def _closed(state_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, max_chars: int, max_seconds: float) -> Iterator[pd.DataFrame]:
-    """The chunker online: sentences arrive in order of time; a chunk leaves once the next sentence does not fit."""
+    """The chunker online: sentences arrive in order of time; a chunk leaves once the next sentence does not fit.
+
+    A sentence without text ends its video."""
     text, start, end, n = state.get if state.exists else ("", 0.0, 0.0, 0)
     out = []
-    if state.hasTimedOut:
-        out, n = ([(state_key[0], text, start, end, n)] if n else []), 0
-        state.remove()
-    else:
-        for s in pd.concat(list(batches)).sort_values("start", kind="stable").itertuples():
-            # Joining spaces do not count towards the limit.
-            if n and (len(text) - n + 1 + len(s.text) > max_chars or s.start - start > max_seconds):
-                out.append((state_key[0], text, start, end, n))
-                n = 0
+    for s in pd.concat(list(batches)).sort_values("start", kind="stable").itertuples():
+        last = s.text is None
+        # Joining spaces do not count towards the limit.
+        if n and (last or len(text) - n + 1 + len(s.text) > max_chars or s.start - start > max_seconds):
+            out.append((state_key[0], text, start, end, n))
+            n = 0
+        if not last:
             text, start, end, n = (f"{text} {s.text}", start, s.end, n + 1) if n else (s.text, s.start, s.end, 1)
-        state.update((text, float(start), float(end), int(n)))
-        state.setTimeoutDuration(60_000)
+    state.update((text, float(start), float(end), int(n)))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in CLOSED.split(", ")])
 
 
@@ -67,4 +66,4 @@ def chunk_stream(spoken: DataFrame, max_chars: int = 400, max_seconds: float = 1
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         return _closed(key, batches, state, max_chars, max_seconds)
 
-    return spoken.groupBy("vid_hash").applyInPandasWithState(run, CLOSED, "text string, start double, end double, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return spoken.groupBy("vid_hash").applyInPandasWithState(run, CLOSED, "text string, start double, end double, n int", "append", GroupStateTimeout.NoTimeout)
