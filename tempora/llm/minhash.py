@@ -26,7 +26,7 @@ from .words import Hasher, grams, mixed, split
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 24, 5, 0.8
 FIRST_PIVOTS, MORE_PIVOTS = 16, 8
-BATCH_WORDS = 400_000
+BATCH_WORDS = 150_000
 
 
 def shingles(words: list[bytes], hasher: Hasher, n: int = SHINGLE) -> np.ndarray:

@@ -10,7 +10,7 @@ import xxhash
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 150_000
 
 
 def split(text: str | None, lower: bool = False) -> list[bytes]:
