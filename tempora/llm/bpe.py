@@ -10,16 +10,15 @@ array of binary pieces and concatenates them.
 from __future__ import annotations
 
 import base64
-import json
-from collections.abc import Iterable
+from collections.abc import Callable
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import most_frequent, stage
 
-DICTIONARY_WORDS = 300_000
+DICTIONARY_WORDS = 200_000
 NO_RANK = 2**31 - 1
 SPARK_SEED = 42
 
@@ -29,31 +28,53 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _let(value: Column, use) -> Column:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
 class Lookup:
-    """A literal from strings to values: an array of maps, by the string's hash."""
+    """A literal from strings to values: an array of maps, by the string's hash.
 
-    def __init__(self, pairs: Iterable[tuple[str, object]], kind: str, per_map: int = 2) -> None:
-        pairs = list(pairs)
-        self.n = max(1, len(pairs) // per_map)
-        dealt: list[dict] = [{} for _ in range(self.n)]
-        for k, v in pairs:
-            h = xxhash.xxh64_intdigest(k.encode(), SPARK_SEED)
-            dealt[(h - (h >> 63 << 64)) % self.n][k] = v
-        self.maps = F.from_json(F.lit(json.dumps(dealt, separators=(",", ":"))), f"array<map<string,{kind}>>")
+    `bound` names the literal once for a whole expression, which so holds one copy of it.
+    """
+
+    def __init__(self, maps: list[str], kind: str) -> None:
+        self.n = len(maps)
+        self.literal = F.from_json(F.lit("[" + ",".join(maps) + "]"), f"array<map<string,{kind}>>")
+        self.maps = self.literal
+
+    def bound(self, use: Callable[[], Column]) -> Column:
+        def name(maps: Column) -> Column:
+            self.maps = maps
+            try:
+                return use()
+            finally:
+                self.maps = self.literal
+
+        return _let(self.literal, name)
 
     def get(self, key: Column) -> Column:
-        return F.try_element_at(F.get(self.maps, F.pmod(F.xxhash64(key), F.lit(self.n)).cast("int")), key)
+        return F.try_element_at(F.get(self.maps, self.place(key, self.n)), key)
+
+    @staticmethod
+    def place(key: Column, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def _ranks_lookup(ranks: dict[bytes, int], per_map: int = 2) -> Lookup:
+    n = max(1, len(ranks) // per_map)
+    dealt: list[list[str]] = [[] for _ in range(n)]
+    for k, v in ranks.items():
+        h = xxhash.xxh64_intdigest(k.hex().upper(), SPARK_SEED)
+        dealt[(h - (h >> 63 << 64)) % n].append(f'"{k.hex().upper()}":{v}')
+    return Lookup(["{" + ",".join(x) + "}" for x in dealt], "int")
 
 
 class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, pattern
-        self.rank = Lookup(((k.hex().upper(), v) for k, v in ranks.items()), "int")
+        self.rank = _ranks_lookup(ranks)
         top = max(ranks.values())
         by_id = {v: k for k, v in ranks.items()}
         self.pieces = F.split(F.lit(",".join(by_id.get(i, b"").hex() for i in range(top + 1))), ",", -1)
@@ -88,29 +109,34 @@ class Bpe:
 
         steps = F.when(n < 2, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), (n - 1).cast("int")))
         folded = F.aggregate(steps, start, step, lambda s: F.transform(s["p"], self.rank.get))
-        whole = self.rank.get(word)  # a word with a rank is one token
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(folded)
+        # A word with a rank is one token.
+        return _let(self.rank.get(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
 
     def dictionary(self, docs: DataFrame, text_col: str, size: int) -> Lookup | None:
-        """Ids of the `size` most frequent words that have no rank themselves; counts cover every document."""
+        """Ids of the most frequent words, at most `size`; counts cover every document."""
         if size <= 0:
             return None
         words = docs.select(F.explode(self.words(F.col(text_col))).alias("word")).groupBy("word").count()
-        words = words.select(F.hex("word").alias("word"), "count").filter(self.rank.get(F.col("word")).isNull())
-        most = stage(words.orderBy(F.desc("count"), "word").limit(size).select("word"), "bpe-words")
-        rows = most.repartition(most.sparkSession.sparkContext.defaultParallelism, "word").select("word", self.fold(F.col("word")).alias("ids")).toPandas()
-        return Lookup(((w, [int(i) for i in ids]) for w, ids in zip(rows.word, rows.ids, strict=True)), "array<int>")
+        words = stage(words.withColumn("word", F.hex("word")), "bpe-words")
+        rows = most_frequent(words, "count", size)
+        n = max(1, rows.count() // 3)
+        folded = rows.repartition("word").select("word", self.rank.bound(lambda: self.fold(F.col("word"))).alias("ids"))
+        packed = folded.groupBy(Lookup.place(F.col("word"), n).alias("place")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "ids"))))).alias("map"))
+        maps = ["{}"] * n
+        for r in packed.toLocalIterator():
+            maps[r.place] = r.map
+        return Lookup(maps, "array<int>")
 
     def encode(self, docs: DataFrame, text_col: str = "text", into: str = "ids", dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
         """docs with a column of ids. Null texts are empty and have no ids; other columns are kept."""
         known = self.dictionary(docs, text_col, dictionary_words)
 
         def ids(word: Column) -> Column:
-            direct = self.rank.get(word)
-            found = F.when(direct.isNotNull(), F.array(direct))
-            return F.coalesce(found, known.get(word), self.fold(word)) if known else F.coalesce(found, self.fold(word))
+            return F.coalesce(known.get(word), self.fold(word)) if known else self.fold(word)
 
-        return docs.withColumn(into, F.flatten(F.transform(self.words(F.col(text_col)), lambda w: _let(F.hex(w), ids))))
+        every = lambda: F.flatten(F.transform(self.words(F.col(text_col)), lambda w: _let(F.hex(w), ids)))
+        inner = (lambda: known.bound(every)) if known else every
+        return docs.withColumn(into, self.rank.bound(inner))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids."""

@@ -21,12 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made where no shared one is set, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tempora-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tempora-"))
     return found.rstrip("/")
 
 
@@ -57,3 +61,20 @@ def ascii_lower(text: Column) -> Column:
 def remainder(id_col: Column, of: int) -> Column:
     """crc32 of the id as text, modulo `of`; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % of).cast("int")
+
+
+def most_frequent(counts: DataFrame, n: str, size: int) -> DataFrame:
+    """The rows of at most `size` most frequent words: those from the least count on that no more than `size` words reach.
+
+    Only the histogram of counts is ordered, so that neither words nor partial top lists gather anywhere.
+    """
+    # Counts from 64 on share a bucket with those within a sixty-fourth of them: a histogram of bounded size.
+    level = F.when(F.col(n) < 64, F.col(n)).otherwise(64 + F.floor(F.log2(F.col(n) / 64.0) * 64)).cast("long")
+    rows = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()
+    left, least = size, None
+    for r in sorted(rows, key=lambda r: -r.level):
+        left -= r.words
+        if left < 0:
+            break
+        least = r.level
+    return counts.filter(level >= least) if least is not None else counts.limit(0)

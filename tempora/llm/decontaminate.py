@@ -21,7 +21,7 @@ from .common import stage
 from .words import Hasher, joined, mixed, split
 
 SIMILARITY, WALKS, SAMPLES, BITS, SEED = 0.8, 6, 12, 3, 11
-ITEMS_PER_BLOCK, BATCH_WORDS = 20_000, 500_000
+ITEMS_PER_BLOCK, BATCH_WORDS = 20_000, 200_000
 CANDIDATES = "doc_id long, text_hash long, item int, start int, region array<long>"
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 

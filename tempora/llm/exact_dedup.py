@@ -85,6 +85,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     who = stage(identities(docs, id_col, text_col, block_bytes), "identities")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
     groups = who.groupBy("n_blocks", "name").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    groups = stage(groups, "groups")  # a join of two tables: Spark splits a group that holds many rows
     return who.join(groups, ["n_blocks", "name"]).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row_key") == F.col("first.row_key")).alias("kept"), "text_sha256"
     )

@@ -7,7 +7,7 @@ shingle stops once its clock has passed the latest of its document's slots, sinc
 agree with the documents' probability Jaccard similarity.
 
 Documents of equal words are one node. Nodes that share a band meet in buckets. A bucket is not expanded into pairs: its
-members are held against a leader, verified links are closed to classes, and only buckets whose members still lie in
+members are held against a leader, the one that meets most others over all buckets; verified links are closed to classes, and only buckets whose members still lie in
 different classes go on, with more and more pivots, until every pair of different classes in a bucket has been tested.
 """
 
@@ -122,8 +122,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _links(buckets: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
     """Labels of all nodes that have a verified link. buckets: bucket, node, u (its place in [0, 1)), only of two and more."""
-    sizes = stage(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u", "node")).alias("lead")), "buckets")
-    star = buckets.join(sizes, "bucket").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).filter("a <> b").distinct()
+    # The leader is the member that meets most others over all its buckets: of copies with different edits, the original.
+    sizes = stage(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket-sizes")
+    mass = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("mass"))
+    leads = buckets.join(stage(mass, "masses"), "node").groupBy("bucket").agg(F.min(F.struct((-F.col("mass")).alias("order"), "u", "node")).alias("lead"))
+    star = buckets.join(stage(leads, "leaders"), "bucket").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).filter("a <> b").distinct()
     edges = stage(_verified(star, sets, threshold), "links")
     low, high = 0, FIRST_PIVOTS
     while True:

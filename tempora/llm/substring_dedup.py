@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .words import BASE, BASE_INVERSE, Hasher, joined, mixed, split
 
 WINDOW, PREFIX_BYTES = 20, 24
-BLOCK_WORDS, GROUP_WORDS, SHARD_BYTES = 1_000_000, 1_500_000, 4_000_000
+BLOCK_WORDS, GROUP_WORDS, SHARD_BYTES = 600_000, 1_000_000, 4_000_000
 NO_ID = np.iinfo(np.int64).max
 BRANCHES = "group int, names binary, first binary, again binary"
 REMOVED = "shard int, spans binary"

@@ -1,7 +1,7 @@
 """WARC archives: written as segmented records with chunked bodies, read back and reassembled.
 
 Archives are written by Spark's text sink, one record a row: a record ends with two line breaks, which is the sink's
-line separator. A record larger than `segment_bytes` is split into a first record and continuation records. Reading
+line separator; files are compressed whole. A record larger than `segment_bytes` is split into a first record and continuation records. Reading
 parses each archive once into records; Spark groups segments by origin identifier, and a group is put in order by segment
 number, checked against its total length and relieved of its chunked framing.
 """
@@ -9,9 +9,11 @@ number, checked against its total length and relieved of its chunked framing.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, stage
 
-SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 16384, 4096, 4096
+SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE, READ_RECORDS = 16384, 4096, 4096, 256
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -97,7 +99,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segm
             yield pd.DataFrame({"record": [r for (i, f), k, u, p, d, again in zip(ids, b.key, b.url, b.payload, b.digest, b.revisit, strict=True) for r in _records(i, k, u, bytes(p), d, f, again, segment_bytes)]})
 
     out = rows.mapInPandas(build, "record binary").select(F.col("record").cast("string").alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def _page(name: str | None) -> int | None:
@@ -125,8 +127,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         names = [c.split()[0] for c in RECORDS.split(", ")]
         for b in batches:
             for content in b.content:
-                out = pd.DataFrame(_parsed(bytes(content)), columns=names)
-                yield out.astype({"total": "Int64", "refers_to": "Int64", "page_id": "Int64"})
+                records = _parsed(gzip.decompress(content))
+                while part := list(islice(records, READ_RECORDS)):
+                    yield pd.DataFrame(part, columns=names).astype({"total": "Int64", "refers_to": "Int64", "page_id": "Int64"})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, RECORDS)
 
