@@ -7,8 +7,9 @@ shingle stops once its clock has passed the latest of its document's slots, sinc
 agree with the documents' probability Jaccard similarity.
 
 Documents of equal words are one node. Nodes that share a band meet in buckets. A bucket is not expanded into pairs: its
-members are held against a leader, the one that meets most others over all buckets; verified links are closed to classes, and only buckets whose members still lie in
-different classes go on, with more and more pivots, until every pair of different classes in a bucket has been tested.
+members are held against a leader, the one that meets most others over all buckets, and verified links are closed to
+classes. In a bucket whose members still lie in different classes every pair across classes is tested in blocks: a task
+holds two blocks of bounded size, counts all their intersections at once and returns only links that join classes.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from .common import stage
 from .words import Hasher, grams, mixed, split
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 24, 5, 0.8
-FIRST_PIVOTS, MORE_PIVOTS = 16, 8
-BATCH_WORDS = 150_000
+#: Members of a block, and shingles in it on average; buckets of no more than FEW members are tested pair by pair.
+BLOCK_NODES, BLOCK_SHINGLES, FEW = 512, 500_000, 4
+COLUMNS, BATCH_WORDS = 4096, 150_000
 
 
 def shingles(words: list[bytes], hasher: Hasher, n: int = SHINGLE) -> np.ndarray:
@@ -120,7 +122,90 @@ def components(edges: DataFrame) -> DataFrame:
         labels = now.select("node", F.col("next").alias("label"))
 
 
-def _links(buckets: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
+def _merging(common: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], labels: tuple[np.ndarray, np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Of the links of a block pair those that join two labels not joined before: no more than there are labels."""
+    linked = (common >= threshold * (sizes[0][:, None] + sizes[1][None, :] - common)) & (labels[0][:, None] != labels[1][None, :])
+    above = np.arange(1 + max([-1, *labels[0], *labels[1]]))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = top(labels[0][i]), top(labels[1][j])
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a block of sets with another, by products of incidence matrices COLUMNS wide."""
+    out = np.zeros((len(left), len(right)))
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for sets in (left, right):
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        own = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[own], kind="stable")
+        sides.append((at[own][order], row[own][order]))
+    for start in range(0, len(both), COLUMNS):
+        part = []
+        for (at, row), sets in zip(sides, (left, right), strict=True):
+            lo, hi = np.searchsorted(at, [start, start + COLUMNS])
+            matrix = np.zeros((len(sets), min(COLUMNS, len(both) - start)), np.float32)
+            matrix[row[lo:hi], at[lo:hi] - start] = 1
+            part.append(matrix)
+        out += part[0] @ part[1].T
+    return out
+
+
+def _block_links(threshold: float):
+    def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        label = pd.factorize(rows.label)[0]
+        left = np.flatnonzero(rows.side == 0)
+        right = np.flatnonzero(rows.side == 1) if (rows.side == 1).any() else left  # a block with itself comes once
+        pick = lambda at: [rows.shingles.iloc[k] for k in at]
+        if not len(left) or rows.with_main.iloc[0] and right is left:
+            return pd.DataFrame({"a": [], "b": []}, dtype=object)
+        sizes = tuple(np.array([len(x) for x in pick(at)], float) for at in (left, right))
+        found = _merging(overlaps(pick(left), pick(right)), sizes, (label[left], label[right]), threshold)
+        return pd.DataFrame({"a": [rows.node.iloc[left[i]] for i, _ in found], "b": [rows.node.iloc[right[j]] for _, j in found]}, dtype=object)
+
+    return run
+
+
+def _mixed_buckets(marked: DataFrame) -> DataFrame:
+    """bucket, n, main (the label of most members), and in how many blocks its members and the others are cut."""
+    of_label = marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("size"))
+    main = F.max(F.struct("m", "label", "size")).alias("main")
+    out = of_label.groupBy("bucket").agg(F.sum("m").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("labels"), main).filter("labels > 1 AND n > 2")
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK_NODES), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    m, of_main = F.col("main.m"), F.col("main.size")
+    return out.select("bucket", "n", F.col("main.label").alias("main"), blocks(m, of_main).alias("mains"), blocks(F.col("n") - m, F.col("size") - of_main).alias("others"))
+
+
+def _blocked(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between different labels within buckets.
+
+    A bucket's main label is cut into blocks, its other members likewise; each block of others meets each block of others
+    and each of the main label's. A task holds two blocks, so a set travels once for each block it meets, not for each pair.
+    """
+    i = F.floor(F.col("u") * F.when(F.col("label") == F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    member = members.withColumn("i", i)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    mine = F.transform(upto(F.col("others")), lambda k: F.struct(F.lit(True).alias("with_main"), k.alias("x"), F.col("i").alias("y"), F.lit(1).alias("side")))
+    own = F.transform(upto(F.col("others")), lambda k: F.struct(F.lit(False).alias("with_main"), F.least("i", k).alias("x"), F.greatest("i", k).alias("y"), F.when(F.col("i") <= k, 0).otherwise(1).alias("side")))
+    other = F.transform(upto(F.col("mains")), lambda k: F.struct(F.lit(True).alias("with_main"), F.col("i").alias("x"), k.alias("y"), F.lit(0).alias("side")))
+    place = F.when(F.col("label") == F.col("main"), mine).otherwise(F.concat(own, other))
+    dealt = member.join(sets.select("node", "shingles"), "node").select("bucket", "node", "label", "shingles", F.explode(place).alias("at")).select("bucket", "at.*", "node", "label", "shingles")
+    return dealt.groupBy("bucket", "with_main", "x", "y").applyInPandas(_block_links(threshold), "a binary, b binary")
+
+
+def _links(buckets: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Labels of all nodes that have a verified link. buckets: bucket, node, u (its place in [0, 1)), only of two and more."""
     # The leader is the member that meets most others over all its buckets: of copies with different edits, the original.
     sizes = stage(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket-sizes")
@@ -128,22 +213,18 @@ def _links(buckets: DataFrame, sets: DataFrame, threshold: float) -> DataFrame |
     leads = buckets.join(stage(mass, "masses"), "node").groupBy("bucket").agg(F.min(F.struct((-F.col("mass")).alias("order"), "u", "node")).alias("lead"))
     star = buckets.join(stage(leads, "leaders"), "bucket").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).filter("a <> b").distinct()
     edges = stage(_verified(star, sets, threshold), "links")
-    low, high = 0, FIRST_PIVOTS
-    while True:
-        labels = components(edges)
-        marked = buckets.join(labels, "node", "left").select("bucket", "node", "u", F.coalesce("label", "node").alias("label"))
-        mixed_ones = marked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most AND n > 2")
-        mixed_ones = stage(mixed_ones.select("bucket", "n").filter(F.col("n") > low), "mixed")
-        if mixed_ones.isEmpty():
-            return labels
-        open_ones = stage(marked.join(mixed_ones, "bucket"), "open")
-        place = F.col("u") * F.col("n")
-        pivots = open_ones.filter((place >= low) & (place < high)).select("bucket", F.col("node").alias("p"), F.col("u").alias("pu"), F.col("label").alias("pl"))
-        after = (F.col("u") > F.col("pu")) | ((F.col("u") == F.col("pu")) & (F.col("node") > F.col("p")))
-        pairs = open_ones.join(pivots, "bucket").filter(after & (F.col("label") != F.col("pl")))
-        pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        edges = stage(edges.union(_verified(pairs, sets, threshold)), "links")
-        low, high = high, high * MORE_PIVOTS
+    labels = components(edges)
+
+    size = sets.select("node", F.size("shingles").cast("long").alias("size"))
+    marked = buckets.join(labels, "node", "left").join(size, "node").select("bucket", "node", "u", "size", F.coalesce("label", "node").alias("label"))
+    marked = stage(marked, "marked")
+    members = stage(marked.drop("size").join(stage(_mixed_buckets(marked), "mixed"), "bucket"), "open")
+    few = members.filter(F.col("n") <= FEW)
+    one, two = few.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), few.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
+    pairs = one.join(two, "bucket").filter("a < b AND la <> lb").select("a", "b").distinct()
+    more = _blocked(members.filter(F.col("n") > FEW), sets, threshold)
+    more = stage(_verified(pairs, sets, threshold).unionByName(more), "more-links")
+    return labels if more.isEmpty() else components(edges.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -75,13 +75,13 @@ def test_near_duplicates_match_brute_force(spark):
 
 
 def test_links_between_members_that_the_leader_does_not_link(spark, monkeypatch):
-    """A chain in one bucket: each text is near the next only, and more of them than the first pivots."""
+    """A chain in one bucket: each text is near the next only, and more of them than a block holds."""
     import random
 
     base = prose(random.Random(5), 100).split()
     rows = [(k, " ".join(base[3 * k : 3 * k + 60] if k < 13 else [f"z{k}_{j}" for j in range(30)])) for k in range(20)]
-    monkeypatch.setattr(minhash, "FIRST_PIVOTS", 2)
-    monkeypatch.setattr(minhash, "MORE_PIVOTS", 2)
+    monkeypatch.setattr(minhash, "BLOCK_NODES", 4)
+    monkeypatch.setattr(minhash, "FEW", 3)
     got = minhash.near_duplicates(frame(spark, rows), bands=60, rows=2)
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in got.collect()) == jaccard_classes(rows, 0.8)[0]
 
@@ -93,6 +93,14 @@ def test_keep_representatives(spark):
     assert out.columns == df.columns and out.count() == jaccard_classes(rows, 0.8)[1]
 
 
+def test_overlaps_in_narrow_columns(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 3)
+    rng = np.random.default_rng(2)
+    left, right = ([np.unique(rng.integers(0, 40, n)) for n in sizes] for sizes in ((0, 5, 30), (12, 0, 1, 25)))
+    assert minhash.overlaps(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert minhash.overlaps([np.zeros(0, np.int64)], [np.zeros(0, np.int64)]).tolist() == [[0]]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     common, a, b = (rng.integers(1, 2**62, n).astype(np.uint64) for n in (800, 100, 100))
