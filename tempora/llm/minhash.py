@@ -1,4 +1,4 @@
-"""Near-duplicates by ProbMinHash over weighted shingles, banding and exact verification.
+"""Near-duplicates by ProbMinHash over weighted and over plain shingles, banding and exact verification.
 
 A document is the set of its shingles of five words, each weighted by how often it occurs. Every shingle is the source of
 a Poisson process whose rate is its weight: arrivals come at exponential distances and each falls on one of the slots of
@@ -6,6 +6,11 @@ the signature, which keeps the earliest. Rounds of arrivals are generated for al
 shingle stops once its clock has passed the latest of its document's slots, since no later arrival can matter. Two slots
 agree with the documents' probability Jaccard similarity.
 
+What is verified is the Jaccard similarity of sets, which counts do not enter: near sets of unequal counts would seldom meet
+in bands of weighted signatures. So a document that repeats a shingle has a second group of bands, of the signature with
+every shingle at weight one, whose slots agree with the Jaccard similarity of sets. Where no shingle repeats the two signatures
+are the same, and both groups share their keys, so that such a document has its bands once and meets either kind.
+
 Documents of equal words are one node. Nodes that share a band meet in buckets. A bucket is not expanded into pairs: its
 members are held against a leader, the one that meets most others over all buckets, and verified links are closed to
 classes. In a bucket whose members still lie in different classes every pair across classes is tested in blocks: a task
@@ -37,8 +42,11 @@ def shingles(words: list[bytes], hasher: Hasher, n: int = SHINGLE) -> np.ndarray
     return grams(h, min(n, len(h))) if len(h) else h
 
 
-def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
-    """For each document the hash of the element that comes first in each slot; zero where the document has none."""
+def signatures(sets: list[np.ndarray], slots: int, weighted: bool = True) -> np.ndarray:
+    """For each document the hash of the element that comes first in each slot; zero where the document has none.
+
+    An element's weight is how often it stands in the list, or one where `weighted` is false.
+    """
     n = len(sets)
     times, firsts = np.full(n * slots, np.inf), np.zeros(n * slots, np.uint64)
     unique = [np.unique(s, return_counts=True) for s in sets]
@@ -46,7 +54,7 @@ def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
     if not len(doc):
         return firsts.reshape(n, slots)
     element = np.concatenate([u for u, _ in unique])
-    rate = np.concatenate([c for _, c in unique]).astype(float)
+    rate = np.concatenate([c for _, c in unique]).astype(float) if weighted else np.ones(len(element))
     state, clock = element.copy(), np.zeros(len(element))
     while len(element):
         state = mixed(state + np.uint64(0x9E3779B97F4A7C15))
@@ -62,6 +70,23 @@ def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
     return firsts.reshape(n, slots)
 
 
+def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> list[np.ndarray]:
+    """Keys of each document's bands: of its weighted signature, and of that with all weights one where a shingle repeats."""
+
+    def keys(some: list[np.ndarray], weighted: bool) -> np.ndarray:
+        sig = signatures(some, bands * rows, weighted).reshape(len(some), bands, rows)
+        key = np.zeros((len(some), bands), np.uint64)
+        for r in range(rows):
+            key = mixed(key * np.uint64(31) + sig[:, :, r] + np.arange(1, bands + 1, dtype=np.uint64))
+        return key
+
+    out = [k if len(s) else k[:0] for k, s in zip(keys(sets, True), sets, strict=True)]
+    again = [i for i, s in enumerate(sets) if len(np.unique(s)) < len(s)]
+    for i, k in zip(again, keys([np.unique(sets[i]) for i in again], False), strict=True):
+        out[i] = np.union1d(out[i], k)
+    return out
+
+
 def _nodes(bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -72,14 +97,11 @@ def _nodes(bands: int, rows: int):
                 while stop < len(b) and (size == 0 or size < BATCH_WORDS):
                     size, stop = size + len(texts[stop]) + 1, stop + 1
                 part = texts[start:stop]
-                sig = signatures([shingles(w, hasher) for w in part], bands * rows).reshape(len(part), bands, rows)
-                key = np.zeros((len(part), bands), np.uint64)
-                for r in range(rows):
-                    key = mixed(key * np.uint64(31) + sig[:, :, r] + np.arange(1, bands + 1, dtype=np.uint64))
+                keys = band_keys([shingles(w, hasher) for w in part], bands, rows)
                 own = b.iloc[start:stop]
                 yield pd.DataFrame({
                     "doc_id": own.doc_id, "text_hash": own.text_hash, "node": [xxhash.xxh3_128_digest(b" ".join(w)) for w in part],
-                    "bands": [k.view(np.int64) if w else np.zeros(0, np.int64) for k, w in zip(key, part, strict=True)],
+                    "bands": [k.view(np.int64) for k in keys],
                 })
                 start = stop
 

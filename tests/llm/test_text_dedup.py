@@ -86,6 +86,26 @@ def test_links_between_members_that_the_leader_does_not_link(spark, monkeypatch)
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in got.collect()) == jaccard_classes(rows, 0.8)[0]
 
 
+def test_near_sets_of_unequal_counts_are_linked(spark):
+    """A line once against the same line forty times: near as sets of shingles, far by their counts."""
+    rows = []
+    for k in range(20):
+        body, line = (" ".join(f"{kind}{k}_{j}" for j in range(n)) for kind, n in (("w", 300), ("l", 12)))
+        rows += [(2 * k, f"{body} {line}"), (2 * k + 1, f"{body} " + f"{line} " * 40)]
+    got = minhash.near_duplicates(frame(spark, rows)).collect()
+    want = jaccard_classes(rows, 0.8)[0]
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == want
+    assert all(size == 2 for _, _, size in want)
+
+
+def test_bands_of_plain_sets_stand_beside_the_weighted():
+    rng = np.random.default_rng(4)
+    plain = rng.integers(1, 2**62, 50).astype(np.uint64)
+    again = np.concatenate([plain, np.repeat(plain[:3], 30)])
+    one, two, none = minhash.band_keys([plain, again, plain[:0]], 24, 5)
+    assert len(one) == 24 and set(one) <= set(two) and len(two) > 24 and not len(none)
+
+
 def test_keep_representatives(spark):
     rows = documents()
     df = frame(spark, rows)
