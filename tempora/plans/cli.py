@@ -36,6 +36,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.build_graph or a.run_phase in ("all", "0", "1", "2"):
+        raise SystemExit("the command line does not ingest or build the graph: call Engine.ingest with the tables of detectors and transcribers")
     spark = SparkSession.builder.appName("tempora").getOrCreate()
     engine = Engine(spark, a.root)
     if a.resume_phase is not None:
@@ -47,8 +49,8 @@ def main(argv: list[str] | None = None) -> int:
             q = spark.createDataFrame([("q", a.query)], "query_id string, query string")
             found = engine.search(q, a.domain, a.filter_meta, a.top_k, use_graph=a.use_graph, hop_limit=a.hop_limit)
             found = engine.rerank(found, q) if a.rerank else found
-            out = found if a.search_only else engine.answer(found, a.max_context_images)
-            for row in out.toJSON().take(a.top_k):
+            out = engine.best(found, a.top_k) if a.search_only else engine.answer(found, a.max_context_images)
+            for row in out.toJSON().collect():  # at most top_k rows, or the one query's answer
                 print(row)
         elif phase == 4:
             rows = spark.read.schema("query string, context string, answer string").json(engine.path("queue"))

@@ -45,9 +45,16 @@ class Engine:
     def tracker(self) -> Tracker:
         return Tracker(self.spark, self.path("tracker"))
 
-    def ingest(self, spoken: DataFrame, scenes: DataFrame, keyframes: DataFrame, meta: DataFrame, attempt: int = 1, build_graph: bool = True) -> DataFrame:
-        """Chunk, encode and publish the videos of `spoken`; returns the number of visible points of each."""
+    def ingest(self, spoken: DataFrame, scenes: DataFrame, keyframes: DataFrame, meta: DataFrame, attempt: int = 1, build_graph: bool = True, images: DataFrame | None = None) -> DataFrame:
+        """Chunk, encode and publish the videos of `spoken`; returns the number of visible points of each.
+
+        images: vid_hash, keyframe_path, image_dense, a row a keyframe; a chunk without one has no image vector.
+        """
         rows = commits.payload(chunking.chunks(spoken, scenes, keyframes), meta)
+        if images is None:
+            rows = rows.withColumn("image_dense", F.lit(None).cast("array<float>"))
+        else:
+            rows = rows.join(images.select("vid_hash", "keyframe_path", F.col("image_dense").cast("array<float>").alias("image_dense")), ["vid_hash", "keyframe_path"], "left")
         rows = commits.point_id(models.encode(rows, "text", "text_dense")).withColumn("attempt", F.lit(attempt))
         commits.write_points(rows, self.path("points"))
         commits.commit(self.path("commits"), rows.select("vid_hash", "attempt").distinct())
@@ -60,10 +67,15 @@ class Engine:
         return commits.committed_counts(self.read("points"), self.read("commits"))
 
     def visible(self) -> DataFrame:
-        return commits.visible(self.read("points"), self.read("commits"))
+        # Points of earlier versions have no image_dense.
+        points = self.spark.read.option("mergeSchema", True).parquet(self.path("points"))
+        return commits.visible(points, self.read("commits"))
 
     def search(self, queries: DataFrame, domain: str, filter_meta: str | None = None, k: int = search.TOP_K, flags: list[str] | None = None, use_graph: bool = False, hop_limit: object = 2) -> DataFrame:
-        """Fused candidates of each query. queries: query_id, query."""
+        """Fused candidates of each query. queries: query_id, query, and image_dense where images are to be searched.
+
+        A query's image vector is given, since it must lie in the space of the points' own; rows without one are not searched there.
+        """
         alpha, beta = self.weights.get(domain, (search.DEFAULT_ALPHA, search.DEFAULT_BETA))
         own = search.matching(self.visible(), search.parse_filter(filter_meta) | {"domain": domain})
         asked = models.encode(queries, "query", "text_dense")
@@ -71,12 +83,20 @@ class Engine:
             "semantic": search.dense_topk(own, asked, "text_dense", k),
             "keyword": search.sparse_topk(search.postings(own, "point_id", "text"), search.postings(queries, "query_id", "query"), k),
         }
+        if "image_dense" in queries.columns and "image_dense" in own.columns:
+            seen = F.col("image_dense").isNotNull()
+            spaces["visual"] = search.dense_topk(own.filter(seen), queries.filter(seen), "image_dense", k)
         fused = search.fuse(search.active_spaces(spaces, flags), alpha, beta)
         found = fused.join(own.select("point_id", "chunk_id", "parent_chunk_id", "is_cross_scene_subchunk", "text", "keyframe_path", F.col("start").alias("start_sec"), F.col("end").alias("end_sec"), "scene_index"), "point_id")
         if not use_graph:
             return found
         return graph.with_neighbours(found, self.read("edges"), self.read("nodes"), hop_limit)
 
+    def best(self, found: DataFrame, k: int) -> DataFrame:
+        """The k best of one query's rows, in order: as reranked, or as fused with neighbours in the graph last."""
+        order = ["score_rank"] if "score_rank" in found.columns else [F.desc("s_total"), F.asc_nulls_last("place"), "chunk_id"]
+        return found.orderBy(*order).limit(k)
+
     def rerank(self, candidates: DataFrame, queries: DataFrame, tokens: int = selection.TOKENS) -> DataFrame:
         scored = search.lexical_rerank(candidates.join(queries, "query_id")).withColumn("score", F.col("rerank_score"))
         return selection.greedy_pack(scored, tokens)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import media, text, vectors
 from tempora.operators import chunking, evaluation, graph, models, search, selection
-from tempora.plans import commits
+from tempora.plans import cli, commits
 from tempora.plans.engine import Engine, phase_plan
 from tempora.plans.tracker import Tracker
 from tempora.sources import config, readers, sinks
@@ -345,3 +345,36 @@ def test_engine_end_to_end(spark, tmp_path):
     first, second = engine.evaluate(spark.read.schema(readers.EVAL).json(engine.path("queue")), 1.0)
     assert first.count() == 1 and second.columns[-1] == "tier2_verdict"
     assert models.encode(q, "query", "v").first().v is not None
+
+
+def test_command_line_prints_the_best_in_order(spark, tmp_path, capsys):
+    root = f"file://{tmp_path}/e"
+    engine = Engine(spark, root)
+    # Each text repeats the asked word once more than the one before, so that totals differ.
+    spoken = [(f"v{k}", 0, " ".join(["goal"] * (k + 1) + [f"filler{k}_{j}" for j in range(12 - k)]) + ".", 0.0, 4.0) for k in range(12)]
+    scenes = spark.createDataFrame([(v, 0, 0.0, 10.0) for v, *_ in spoken], SCENES)
+    frames = spark.createDataFrame([(v, 0, 0, f"{v}.jpg") for v, *_ in spoken], "vid_hash string, scene_index int, ord int, keyframe_path string")
+    meta = spark.createDataFrame([(v, "sport") for v, *_ in spoken], "vid_hash string, domain string")
+    engine.ingest(spark.createDataFrame(spoken, SPOKEN), scenes, frames, meta, build_graph=False)
+    assert cli.main(["--root", root, "--query", "goal", "--domain", "sport", "-s", "-t", "20"]) == 0
+    places = [json.loads(line)["place"] for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
+    assert places == list(range(1, 13))
+
+
+@pytest.mark.parametrize("argv", [["--run_phase", "all"], ["--run_phase", "1"], ["--build_graph"]])
+def test_command_line_refuses_what_it_does_not_do(tmp_path, argv):
+    with pytest.raises(SystemExit, match="does not ingest"):
+        cli.main(["--root", f"file://{tmp_path}/e", *argv])
+
+
+def test_engine_finds_by_image(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/e")
+    spoken = spark.createDataFrame([("v", 0, "the goal was late.", 0.0, 4.0), ("u", 0, "final whistle.", 0.0, 2.0)], SPOKEN)
+    scenes = spark.createDataFrame([("v", 0, 0.0, 10.0), ("u", 0, 0.0, 9.0)], SCENES)
+    frames = spark.createDataFrame([("v", 0, 0, "v0.jpg"), ("u", 0, 0, "u0.jpg")], "vid_hash string, scene_index int, ord int, keyframe_path string")
+    meta = spark.createDataFrame([("v", "sport"), ("u", "sport")], "vid_hash string, domain string")
+    images = spark.createDataFrame([("u", "u0.jpg", [1.0, 0.0])], "vid_hash string, keyframe_path string, image_dense array<float>")
+    engine.ingest(spoken, scenes, frames, meta, build_graph=False, images=images)
+    q = spark.createDataFrame([("q", "goal", [0.8, 0.6])], "query_id string, query string, image_dense array<float>")
+    got = engine.search(q, "sport", flags=["visual"]).collect()
+    assert [(r.text, r.source_flags) for r in got] == [("final whistle.", ["visual"])]
