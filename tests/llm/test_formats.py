@@ -116,9 +116,10 @@ def coder():
 def test_bpe_matches_the_library(spark, coder):
     want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
     odd = ["a\u3000 b  \t c\n\n  x'll I'M don't 12345 \u00bd\u0661\u0662 \u65e5\u672c\u8a9e \U0001f389\U0001f468\u200d\U0001f469", "x" * 700 + "\u00e9" * 300, "<|endoftext|>", "\x85\u2028\ufeff \x1c", "   "]
+    rng = random.Random(4)
+    odd += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC") for _ in range(100_000)), "y" * 100_000, "ab" * 128 + " " + "ab" * 129, " " * 3000 + "z", "\u00e9\u65e5" * 500]
     rows = [*documents()[:40], *((1000 + k, t) for k, t in enumerate(odd)), (2000, None), (2001, "")]
-    rows = [(i, t[:1500] if t else t) for i, t in rows]
-    for size in (200,):
+    for size in (0, 200):
         out = coder.encode(frame(spark, rows), dictionary_words=size)
         got = out.select("text", "ids", coder.decode(F.col("ids")).alias("back"), coder.id_bytes(F.col("ids")).alias("le")).collect()
         assert len(got) == len(rows)
@@ -127,5 +128,19 @@ def test_bpe_matches_the_library(spark, coder):
             assert list(r.ids) == ids and bytes(r.back) == (r.text or "").encode() and bytes(r.le) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_bpe_keeps_columns_and_replaces_its_own(spark, coder):
+    docs = frame(spark, documents()[:5]).selectExpr("*", "1 AS ids", "'a' AS words", "'b' AS LONG", "2 AS folded", "3 AS texts", "4 AS ranks")
+    out = coder.encode(docs, dictionary_words=10)
+    assert sorted(out.columns) == sorted(docs.columns)
+    assert {(r.words, r.LONG, r.folded, r.texts, r.ranks) for r in out.collect()} == {("a", "b", 2, 3, 4)}
+
+
+def test_unusual_vocabularies_are_refused(coder):
+    with pytest.raises(ValueError):
+        bpe.merge_table({b"a": 0})
+    with pytest.raises(ValueError):
+        bpe.merge_table({**{bytes([b]): b for b in range(256)}, b"abc": 300})
+
+
 def test_bpe_of_nothing(spark, coder):
     assert coder.encode(frame(spark, [])).collect() == []
