@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, fresh, most_frequent, stage
 
-DICTIONARY_WORDS, LONG = 300_000, 256
+DICTIONARY_WORDS, LONG = 600_000, 256
 #: Ids take the low bits of a number; EDGE is the id of what stands before and after a word.
 ID_BITS = 20
 EDGE = (1 << ID_BITS) - 1

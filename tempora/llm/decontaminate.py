@@ -17,11 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import fresh, stage
 from .words import Hasher, joined, mixed, split
 
 SIMILARITY, WALKS, SAMPLES, BITS, SEED = 0.8, 6, 12, 3, 11
-ITEMS_PER_BLOCK, BATCH_WORDS = 20_000, 200_000
+ITEMS_PER_BLOCK, BATCH_WORDS, EXPANDED = 20_000, 200_000, 1_000_000
 CANDIDATES = "doc_id long, text_hash long, item int, start int, region array<long>"
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -100,7 +100,7 @@ class Items:
         self.similarity = similarity
         self.ids = [i for i, _ in rows]
         self.words = words
-        self.q = {}  # q -> sorted gram hashes, items, offsets
+        self.q = {}  # q -> sorted gram hashes, offsets, sizes of items
         by_q: dict[int, list] = {}
         for n, w in enumerate(words):
             if len(w):
@@ -109,8 +109,10 @@ class Items:
             g, o = joined(_grams(words[n], q) for n in members)
             item = np.repeat(members, np.diff(o))
             offset = np.arange(len(g)) - np.repeat(o[:-1], np.diff(o))
-            order = np.argsort(g, kind="stable")
-            self.q[q] = g[order], item[order], offset[order]
+            # Items of one size that have a gram at one offset ask for the same window.
+            place = np.unique(np.stack([g.view(np.int64), offset, np.array([len(words[n]) for n in item], np.int64)], axis=1), axis=0)
+            order = np.argsort(place[:, 0].view(np.uint64), kind="stable")
+            self.q[q] = tuple(place[order].T.copy())
         self.sizes = np.array([len(w) for w in words], np.int64)
         self.tables = {}  # size -> for each column sorted keys and the items that have them
         for size in np.unique(self.sizes[self.sizes > 0]):
@@ -127,16 +129,19 @@ class Items:
         """Starts and sizes of windows that share a q-gram with an item at the item's own place."""
         starts, sizes = [], []
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        for q, (grams, item, offset) in self.q.items():
+        for q, (grams, offset, size) in self.q.items():
             own = _grams(h, q)
-            lo, hi = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
+            lo, hi = np.searchsorted(grams.view(np.uint64), own, "left"), np.searchsorted(grams.view(np.uint64), own, "right")
             hit = np.flatnonzero(hi > lo)
             hit = hit[doc[hit] == doc[hit + q - 1]] if len(hit) else hit
-            n = hi[hit] - lo[hit]
-            pick = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(hit, n)
-            starts.append(np.clip(at - offset[pick], offsets[:-1][doc[at]], None))
-            sizes.append(self.sizes[item[pick]])
+            every = hi[hit] - lo[hit]
+            for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(np.cumsum(every) // EXPANDED)) + 1):
+                some, n = hit[part], every[part]
+                pick = np.repeat(lo[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(some, n)
+                both = np.unique(np.stack([np.clip(at - offset[pick], offsets[:-1][doc[at]], None), size[pick]], axis=1), axis=0)
+                starts.append(both[:, 0])
+                sizes.append(both[:, 1])
         if not starts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         both = np.unique(np.stack([np.concatenate(starts), np.concatenate(sizes)], axis=1), axis=0)
@@ -218,7 +223,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     A document holds an item of n words if a substring of its words is within (1 - similarity) * n word edits of it;
     the best place is returned (the earliest of equal ones). Null or empty texts and items hold and match nothing. Rows
-    that share an id are told apart by text_hash. Items go to tasks in blocks of at most ITEMS_PER_BLOCK, a pass each.
+    that share an id are told apart by text_hash; equal rows give one row. Very long texts are taken whole. Ids are cast to long (an
+    id that is no number raises). Other columns are not read. An empty table on either side gives an empty result. Items go to tasks in blocks of at most ITEMS_PER_BLOCK, a pass each.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -236,7 +242,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no item, with all their columns."""
-    bad = stage(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_bad")).distinct(), "leaks")
-    own = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return own.join(bad, own[id_col].eqNullSafe(bad["_id"]) & (own["_hash"] == bad["_bad"]), "left_anti").select(*docs.columns)
+    """The rows of docs that hold no item, with all their columns.
+
+    Rows are told apart by id and text, so that repeated rows stay or go together; null ids, null, empty and very long texts
+    and empty tables are treated as in `leaks`.
+    """
+    own_hash, bad_id, bad_hash = fresh(docs, "text_hash", "bad_id", "bad_hash")
+    bad = stage(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct(), "leaks")
+    own = docs.withColumn(own_hash, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return own.join(bad, own[id_col].eqNullSafe(bad[bad_id]) & (own[own_hash] == bad[bad_hash]), "left_anti").select(*docs.columns)

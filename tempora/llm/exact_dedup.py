@@ -1,7 +1,8 @@
 """Exact deduplication by deterministic block naming.
 
-Every text is cut into blocks of a fixed number of bytes. Distinct blocks are sorted and numbered, so equal blocks bear
-one integer name and different blocks never share one. Adjacent names are then paired and the distinct pairs are sorted
+Every text is cut into blocks of a fixed number of bytes. Distinct blocks are sorted in their partitions and numbered, so equal blocks bear
+one integer name and different blocks never share one. A name is only good for telling what is equal: its value follows the
+number of partitions. Adjacent names are then paired and the distinct pairs are sorted
 and numbered again, until each document is left with a single name: two texts are equal exactly if their number of blocks
 and their last name are.
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_ODD, discard, stage
+from .common import WS_ODD, discard, fresh, stage
 
 BLOCK_BYTES = 4096
 
@@ -92,8 +93,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_sha256", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    rows = own.join(kept, own[id_col].eqNullSafe(kept["_id"]) & (own["_sha256"] == kept["_sha"]), "left_semi")
-    return rows.dropDuplicates([id_col, "_sha256"]).select(*docs.columns)
+    """The rows of docs that stay, with all their columns: of those with equal texts one with the smallest id.
+
+    Rows with the same id and equal texts count as one; which of them stays is open. Null, empty and very long texts, null
+    ids and an empty table are treated as in `exact_dedup`.
+    """
+    sha, keep_id, keep_sha = fresh(docs, "sha256", "keep_id", "keep_sha256")
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_sha))
+    own = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    rows = own.join(kept, own[id_col].eqNullSafe(kept[keep_id]) & (own[sha] == kept[keep_sha]), "left_semi")
+    return rows.dropDuplicates([id_col, sha]).select(*docs.columns)

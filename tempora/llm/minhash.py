@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, fresh, stage
 from .words import Hasher, grams, mixed, split
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 24, 5, 0.8
@@ -140,7 +140,9 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("next"), F.col("label").alias("jump"))
         now = stage(now.join(up, "next", "left").select("node", "label", F.least("next", F.coalesce("jump", "next")).alias("next")), "labels")
         if now.filter("label <> next").isEmpty():
+            discard(now)
             return labels
+        discard(labels)
         labels = now.select("node", F.col("next").alias("label"))
 
 
@@ -255,7 +257,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are lower-cased (A-Z) and split at white space. Documents are linked if their shingle sets have a Jaccard
     similarity of at least `threshold`; classes are the closure of links. Texts of equal words are linked always, so
     null, empty and blank texts are one class. class_id is the class's smallest id (null if all are), and of its rows
-    that bear it one is kept. A text of under five words is one shingle. An empty table gives an empty result.
+    that bear it one is kept. A text of under five words is one shingle; very long texts are taken whole. Ids are cast to long
+    (an id that is no number raises). Other columns are not read. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
@@ -276,12 +279,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = who.drop("bands").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
     groups = classes.groupBy("label").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    groups = stage(groups, "classes")  # a join of two tables: Spark splits a class that holds many rows
     return classes.join(groups, "label").select("doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row_key") == F.col("first.row_key")).alias("kept"))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one of each class, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_kept"))
-    own = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = own.join(kept, own[id_col].eqNullSafe(kept["_id"]) & (own["_hash"] == kept["_kept"]), "left_semi")
-    return rows.dropDuplicates([id_col, "_hash"]).select(*docs.columns)
+    """The rows of docs that stay, one of each class, with all their columns.
+
+    Rows with the same id and text count as one; which of them stays is open. Null, empty and very long texts, null ids and
+    an empty table are treated as in `near_duplicates`.
+    """
+    own_hash, keep_id, keep_hash = fresh(docs, "text_hash", "keep_id", "keep_hash")
+    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(keep_id), F.col("text_hash").alias(keep_hash))
+    own = docs.withColumn(own_hash, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = own.join(kept, own[id_col].eqNullSafe(kept[keep_id]) & (own[own_hash] == kept[keep_hash]), "left_semi")
+    return rows.dropDuplicates([id_col, own_hash]).select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_RUN, ascii_lower, remainder
+from .common import WS_RUN, ascii_lower, fresh, remainder
 from .words import split
 
 LABELLED_ROWS, CANDIDATES, VOTERS, MIN_SUPPORT, MIN_LOG_ODDS = 20_000, 800, 250, 3, 1.0
@@ -143,8 +143,12 @@ def label_model(votes: np.ndarray, counts: np.ndarray, seen: np.ndarray, prior:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from labelled rows that are not held out; without any of either label, the model scores every text alike."""
-    own = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    """Learn from labelled rows that are not held out; without any of either label, the model scores every text alike.
+
+    A document with both labels counts as toxic; labels of no id, and other labels than 0 and 1, are not read. Rows of docs
+    that share a labelled id are each learnt from. Null texts are empty; very long texts are taken whole.
+    """
+    own = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
     # At most LABELLED_ROWS pairs of numbers, so it may be broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("toxic").cast("int"), "text")
@@ -168,18 +172,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     levels = [v for _, v in chosen] + [0.0] * len(PATTERNS)
 
     dense = rows.select("toxic", densities(voters)("text").alias("x")).persist()
-    votes = F.zip_with("x", F.array(*[F.lit(v) for v in levels]), lambda x, at: F.when((x > 0) & (x >= at), "1").otherwise("0"))
-    patterns = dense.groupBy(F.array_join(votes, "").alias("votes")).agg(clean, toxic).orderBy("votes").toPandas()  # no more rows than the sample
-    matrix = np.stack([np.frombuffer(v.encode(), np.uint8) - 48 for v in patterns.votes]).astype(float)
-    counts = patterns[["c", "t"]].to_numpy(float)
-    q, rate, discount, prior = label_model(matrix, counts, counts.sum(axis=1), n1 / (n0 + n1))
-
-    posterior = docs.sparkSession.createDataFrame(list(zip(patterns.votes, map(float, q), strict=True)), "votes string, q double")
-    train = dense.withColumn("votes", F.array_join(votes, "")).join(F.broadcast(posterior), "votes")
-    sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("q").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight")))).alias("s")
-    train = train.select(array_to_vector("x").alias("features"), sides).select("features", "s.label", "s.weight").filter("weight > 1e-6")
-    linear = LogisticRegression(weightCol="weight", regParam=1e-3, standardization=False, maxIter=80).fit(train)
-    dense.unpersist()
+    try:
+        votes = F.zip_with("x", F.array(*[F.lit(v) for v in levels]), lambda x, at: F.when((x > 0) & (x >= at), "1").otherwise("0"))
+        patterns = dense.groupBy(F.array_join(votes, "").alias("votes")).agg(clean, toxic).orderBy("votes").toPandas()  # no more rows than the sample
+        matrix = np.stack([np.frombuffer(v.encode(), np.uint8) - 48 for v in patterns.votes]).astype(float)
+        counts = patterns[["c", "t"]].to_numpy(float)
+        q, rate, discount, prior = label_model(matrix, counts, counts.sum(axis=1), n1 / (n0 + n1))
+
+        posterior = docs.sparkSession.createDataFrame(list(zip(patterns.votes, map(float, q), strict=True)), "votes string, q double")
+        train = dense.withColumn("votes", F.array_join(votes, "")).join(F.broadcast(posterior), "votes")
+        sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("q").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight")))).alias("s")
+        train = train.select(array_to_vector("x").alias("features"), sides).select("features", "s.label", "s.weight").filter("weight > 1e-6")
+        linear = LogisticRegression(weightCol="weight", regParam=1e-3, standardization=False, maxIter=80).fit(train)
+    finally:
+        dense.unpersist()
     return Model(voters, [float(w) for w in linear.coefficients], float(linear.intercept), [(float(a), float(b)) for a, b in rate.T], [float(d) for d in discount], prior)
 
 
@@ -198,12 +204,16 @@ def scorer(model: Model):
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
-    """docs with the probability that a text is toxic. A null text is empty; other columns are kept."""
+    """docs with the probability that a text is toxic.
+
+    A null text is empty; an empty one has the score that the model gives to no terms at all. Texts are taken whole, and rows
+    are scored each for itself, so null or repeated ids do not matter. Other columns are kept; one named as `into` is
+    replaced. An empty table gives an empty result.
+    """
     return docs.withColumn(into, scorer(model)(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is below the threshold, with all their columns."""
-    names = docs.columns
-    out = score(docs, fit(docs, labels), into="_toxicity")
-    return out.filter(F.col("_toxicity") < threshold).select(*names)
+    """The rows of docs whose score is below the threshold, with all their columns; see `fit` and `score`."""
+    (found,) = fresh(docs, "toxicity")
+    return score(docs, fit(docs, labels), into=found).filter(F.col(found) < threshold).select(*docs.columns)

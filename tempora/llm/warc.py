@@ -13,6 +13,7 @@ import gzip
 import hashlib
 import re
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from itertools import islice
 
 import pandas as pd
@@ -62,16 +63,16 @@ def _head(fields: dict[str, object]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None) + "\r\n").encode()
 
 
-def _records(page_id: object, key: int, url: str, payload: bytes, digest: str, first: object, revisit: bool, segment: int) -> Iterator[bytes]:
+def _records(date: str, page_id: object, key: int, url: str, payload: bytes, digest: str, first: object, revisit: bool, segment: int) -> Iterator[bytes]:
     name = f"<urn:page:{page_id}:{key}>"
-    common = {"WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response"}
+    common = {"WARC-Date": date, "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response"}
     if revisit:
         yield _head({"WARC-Type": "revisit", "WARC-Record-ID": name, "WARC-Refers-To": f"<urn:page:{first}>", "WARC-Profile": PROFILE} | common | {"Content-Length": len(HTTP)}) + HTTP
         return
     block = HTTP + chunked(payload, CHUNK_BYTES)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     for n, part in enumerate(parts, 1):
-        own = {"WARC-Type": "response", "WARC-Record-ID": name} | common if n == 1 else {"WARC-Type": "continuation", "WARC-Record-ID": f"<urn:page:{page_id}:{key}:{n}>", "WARC-Segment-Origin-ID": name}
+        own = {"WARC-Type": "response", "WARC-Record-ID": name} | common if n == 1 else {"WARC-Type": "continuation", "WARC-Date": date, "WARC-Record-ID": f"<urn:page:{page_id}:{key}:{n}>", "WARC-Segment-Origin-ID": name}
         split = {"WARC-Segment-Number": n, "WARC-Segment-Total-Length": len(block) if n == len(parts) else None} if len(parts) > 1 else {}
         yield _head(own | split | {"Content-Length": len(part)}) + part
 
@@ -93,10 +94,12 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segm
         (~F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.octet_length("payload") >= min_revisit_bytes)).alias("revisit"),
     )
 
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids = [(None if pd.isna(i) else int(i), None if pd.isna(f) else int(f)) for i, f in zip(b.page_id, b.first_id, strict=True)]
-            yield pd.DataFrame({"record": [r for (i, f), k, u, p, d, again in zip(ids, b.key, b.url, b.payload, b.digest, b.revisit, strict=True) for r in _records(i, k, u, bytes(p), d, f, again, segment_bytes)]})
+            yield pd.DataFrame({"record": [r for (i, f), k, u, p, d, again in zip(ids, b.key, b.url, b.payload, b.digest, b.revisit, strict=True) for r in _records(date, i, k, u, bytes(p), d, f, again, segment_bytes)]})
 
     out = rows.mapInPandas(build, "record binary").select(F.col("record").cast("string").alias("value"))
     out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
