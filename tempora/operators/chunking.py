@@ -122,6 +122,17 @@ def chunks(spoken: DataFrame, scenes: DataFrame, keyframes: DataFrame | None = N
     return out.join(scene_keyframes(keyframes), ["vid_hash", "scene_index"], "left")
 
 
+def with_keyframe(rows: DataFrame) -> DataFrame:
+    """Chunks that have a keyframe: what an image encoder is given."""
+    return rows.filter("keyframe_path IS NOT NULL AND keyframe_path <> ''")
+
+
+def full_text(segments: DataFrame, keys: list[str], order: str = "segment_id") -> DataFrame:
+    """keys, full_text: the texts of all segments in order, joined by a space. One recording's segments are one row."""
+    told = F.array_sort(F.collect_list(F.struct(order, F.trim("text").alias("text"))))
+    return segments.groupBy(*keys).agg(F.array_join(F.transform(told, lambda x: x["text"]), " ").alias("full_text"))
+
+
 def align_images(rows: DataFrame, images: DataFrame, dim: int) -> DataFrame:
     """rows with their image vector by chunk_id, a zero vector where there is none."""
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)

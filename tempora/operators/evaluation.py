@@ -37,6 +37,11 @@ def tier2(rows: DataFrame, score: Column) -> DataFrame:
     return rows.filter("verdict = 'deep_queue'").withColumn("tier2_score", score).withColumn("tier2_verdict", F.when(F.col("tier2_score") >= 4, "pass").otherwise("fail"))
 
 
+def tier2_counts(rows: DataFrame) -> DataFrame:
+    """judged, passed, failed over judged rows; zeros where there are none."""
+    return rows.agg(F.count(F.lit(1)).alias("judged"), F.count_if(F.col("tier2_verdict") == "pass").alias("passed"), F.count_if(F.col("tier2_verdict") == "fail").alias("failed"))
+
+
 def ground_truth_metrics(results: DataFrame, truth: DataFrame) -> DataFrame:
     """One row of figures. results: query, answer, keyframes (array); truth: ord, query, expected_keyframe, expected_answer.
 
@@ -57,9 +62,20 @@ def ground_truth_metrics(results: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def exact_sample(rows: DataFrame, id_col: str, rate: float, seed: int = 42) -> DataFrame:
-    """max(1, int(n * rate)) rows, the same for the same seed. A sample is what this is for."""
-    n = rows.count()
-    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))), id_col).limit(max(1, int(n * rate)) if n else 0)
+    """max(1, int(n * rate)) rows, the same for the same seed: those that come first by a hash. A sample is what this is for.
+
+    A histogram of the hash's first four digits tells which bucket holds the last row; only that bucket is sorted.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
+    bucket = F.substring(digest, 1, 4)
+    sizes = sorted((r.bucket, r["count"]) for r in rows.groupBy(bucket.alias("bucket")).count().collect())  # at most 65,536
+    n = sum(c for _, c in sizes)
+    left = max(1, int(n * rate)) if n else 0
+    for name, size in sizes:
+        if left <= size:
+            return rows.filter(bucket < name).unionByName(rows.filter(bucket == name).orderBy(digest, id_col).limit(left))
+        left -= size
+    return rows
 
 
 def target_pairs(spark: SparkSession, given: str) -> DataFrame:

@@ -99,13 +99,18 @@ def hop_once(edges: DataFrame, seeds: DataFrame, kind: str, bidirectional: bool
     return step.join(seeds.select(F.col("chunk_id").alias("seed")), F.col("src") == F.col("seed")).select("seed", F.col("dst").alias("chunk_id")).distinct()
 
 
-def expand(edges: DataFrame, seeds: DataFrame, limit: object = 2, temporal: bool = True, spatial: bool = True, pairs: bool = True, bidirectional: bool = False) -> DataFrame:
-    """chunk_id: neighbours of all seeds by the chosen kinds of edges, without the seeds."""
+def neighbours(edges: DataFrame, seeds: DataFrame, limit: object = 2, temporal: bool = True, spatial: bool = True, pairs: bool = True, bidirectional: bool = False) -> DataFrame:
+    """seed, chunk_id: what each seed reaches by the chosen kinds of edges."""
     parts = [hop_temporal(edges, seeds, limit)] if temporal else []
     parts += [hop_once(edges, seeds, kind, bidirectional) for kind, on in (("SAME_SCENE", spatial), ("CROSS_SCENE_PAIR", pairs)) if on]
     if not parts:
-        return seeds.select("chunk_id").limit(0)
-    return reduce(DataFrame.unionByName, parts).select("chunk_id").distinct().join(seeds.select("chunk_id"), "chunk_id", "left_anti")
+        return seeds.select(F.col("chunk_id").alias("seed"), "chunk_id").limit(0)
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def expand(edges: DataFrame, seeds: DataFrame, limit: object = 2, temporal: bool = True, spatial: bool = True, pairs: bool = True, bidirectional: bool = False) -> DataFrame:
+    """chunk_id: neighbours of all seeds by the chosen kinds of edges, without the seeds."""
+    return neighbours(edges, seeds, limit, temporal, spatial, pairs, bidirectional).select("chunk_id").distinct().join(seeds.select("chunk_id"), "chunk_id", "left_anti")
 
 
 def node_metadata(known: DataFrame, ids: DataFrame) -> DataFrame:
@@ -113,7 +118,15 @@ def node_metadata(known: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def with_neighbours(candidates: DataFrame, edges: DataFrame, known: DataFrame, limit: object = 2) -> DataFrame:
-    """Candidates, and their neighbours as further candidates of total 0."""
+    """Candidates, and their neighbours as further candidates of total 0; with a query_id, each query's own ones."""
+    if "query_id" in candidates.columns:
+        own = candidates.filter("chunk_id IS NOT NULL AND chunk_id <> ''").select("query_id", "chunk_id").distinct()
+        near = neighbours(edges, own.select("chunk_id").distinct(), limit)
+        reached = own.join(near.withColumnRenamed("chunk_id", "near"), F.col("chunk_id") == F.col("seed")).select("query_id", F.col("near").alias("chunk_id"))
+        reached = reached.distinct().join(own, ["query_id", "chunk_id"], "left_anti")
+        columns = [c for c in known.columns if c in candidates.columns and c != "chunk_id"]
+        more = known.join(reached, "chunk_id").select("query_id", "chunk_id", *columns, F.lit(0.0).alias("s_total"))
+        return candidates.unionByName(more, allowMissingColumns=True)
     seeds = candidates.filter("chunk_id IS NOT NULL AND chunk_id <> ''").select("chunk_id").distinct()
     more = node_metadata(known, expand(edges, seeds, limit)).select("chunk_id", "text", "keyframe_path", "scene_index", "parent_chunk_id", F.lit(0.0).alias("s_total"))
     return candidates.unionByName(more, allowMissingColumns=True)

@@ -51,8 +51,12 @@ def encode(rows: DataFrame, text: str, into: str, make: Callable[[], TextEncoder
 
 def sparse_terms(text: Column) -> Column:
     """term -> weight of a text: how often it stands there."""
-    own = terms(text)
-    return F.map_from_entries(F.transform(F.array_distinct(own), lambda t: F.struct(t, F.size(F.filter(own, lambda x: x == t)).cast("float"))))
+    # Sorted, a term's occurrences lie together: their number is the distance between the places where terms change.
+    own = F.array_sort(terms(text))
+    heads = F.filter(F.transform(own, lambda x, i: F.when((i == 0) | (x != F.get(own, i - 1)), F.struct(x.alias("t"), i.alias("i")))), lambda h: h.isNotNull())
+    ends = F.concat(F.transform(F.slice(heads, F.lit(2), F.size(heads)), lambda h: h["i"]), F.array(F.size(own)))
+    pairs = F.zip_with(heads, F.slice(ends, F.lit(1), F.size(heads)), lambda h, e: F.struct(h["t"], (e - h["i"]).cast("float")))
+    return F.map_from_entries(pairs)
 
 
 def triad(rows: DataFrame) -> DataFrame:

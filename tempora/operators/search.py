@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-from ..functions.vectors import cosine
+from ..functions.vectors import dot, l2_normalize
 
 RRF_K, TOP_K, QUERIES_PER_PASS = 60, 20, 1000
 SPACES = ("semantic", "visual", "keyword")
@@ -48,12 +48,12 @@ def dense_topk(points: DataFrame, queries: DataFrame, vector: str, k: int = TOP_
     pass keeps k rows a query and task before anything is shuffled. A query never finds itself.
     """
     blocks = max(1, -(-queries.count() // (QUERIES_PER_PASS // 2)))
-    own = points.select("point_id", F.col(vector).alias("v"))
+    own = points.select("point_id", l2_normalize(F.col(vector)).alias("v"))
     out = []
     for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.col(vector).alias("q"))
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", l2_normalize(F.col(vector)).alias("q"))
         pairs = own.join(F.broadcast(block), F.col("point_id") != F.col("query_id"))
-        out.append(top(pairs.select("query_id", "point_id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score")), k))
+        out.append(top(pairs.select("query_id", "point_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")), k))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -70,15 +70,19 @@ def sparse_topk(points: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFr
     return top(hits.groupBy("query_id", "point_id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score")), k)
 
 
-def bm25_topk(points: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, point_id, score, rank by BM25. points and queries are postings; a query's terms count once each."""
-    sizes = points.groupBy("id").agg(F.sum("weight").alias("size"))
-    corpus = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, point_id, score, rank by BM25. docs: id, text; queries are postings, whose terms count once each.
+
+    A text's size comes from the scan, and only terms that some query holds leave it. Texts without terms are no documents.
+    """
+    sized = docs.select("id", terms(F.col("text")).alias("own")).select("id", "own", F.size("own").cast("double").alias("size")).filter("size > 0")
+    corpus = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
     asked = queries.select(F.col("id").alias("query_id"), "term")
-    own = points.join(asked.select("term").distinct(), "term", "left_semi")
+    held = sized.select("id", "size", F.explode("own").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    own = held.groupBy("id", "size", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # One row of corpus figures.
-    weighted = own.join(df, "term").join(sizes, "id").join(F.broadcast(corpus))
+    weighted = own.join(df, "term").join(F.broadcast(corpus))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("weight") * (k1 + 1) / (F.col("weight") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
     scored = weighted.select(F.col("id").alias("point_id"), "term", part.alias("part")).join(asked, "term")
@@ -146,6 +150,20 @@ def lexical_rerank(candidates: DataFrame, query: str = "query", text: str = "tex
     return candidates.withColumn("rerank_score", score)
 
 
+def final_top(candidates: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The k best candidates of each query with final_rank: as reranked where they are, else by s_total, neighbours last."""
+    score = [F.desc("rerank_score")] if "rerank_score" in candidates.columns else []
+    order = Window.partitionBy("query_id").orderBy(*score, F.desc("s_total"), F.asc_nulls_last("place"), "chunk_id")
+    return candidates.withColumn("final_rank", F.row_number().over(order)).filter(F.col("final_rank") <= k)
+
+
+def answered_query(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """queries with the text of each one's best candidate in place of its own; one without candidates is kept as it is."""
+    best = final_top(candidates, 1).select("query_id", F.col("text").alias("_best"))
+    return queries.join(best, "query_id", "left").withColumn("query", F.coalesce("_best", "query")).drop("_best")
+
+
 def search_results(candidates: DataFrame) -> DataFrame:
     """chunk_id, text, keyframe_path, score: the rerank score, or the fused one where there is none."""
-    return candidates.select("chunk_id", "text", "keyframe_path", F.coalesce("rerank_score", "s_total").alias("score"))
+    score = F.coalesce("rerank_score", "s_total") if "rerank_score" in candidates.columns else F.col("s_total")
+    return candidates.select("chunk_id", "text", "keyframe_path", score.alias("score"))

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, evaluation, graph, models, search, selection
 from ..sources.sinks import append_jsonl
 from . import commits
-from .tracker import Tracker
+from .tracker import Tracker, not_done
 
+TOP_K = search.TOP_K
 PHASES = {0: (), 1: (0,), 2: (0, 1), 3: (), 4: ()}
 
 
@@ -45,31 +47,74 @@ class Engine:
     def tracker(self) -> Tracker:
         return Tracker(self.spark, self.path("tracker"))
 
-    def ingest(self, spoken: DataFrame, scenes: DataFrame, keyframes: DataFrame, meta: DataFrame, attempt: int = 1, build_graph: bool = True, images: DataFrame | None = None) -> DataFrame:
+    def ingest(self, spoken: DataFrame, scenes: DataFrame, keyframes: DataFrame, meta: DataFrame, attempt: int | None = None, build_graph: bool = True, images: DataFrame | None = None, image_encoder=None) -> DataFrame:
         """Chunk, encode and publish the videos of `spoken`; returns the number of visible points of each.
 
-        images: vid_hash, keyframe_path, image_dense, a row a keyframe; a chunk without one has no image vector.
+        Videos that the tracker has as committed are left out unless an attempt is named. A video without any chunk is marked as failed
+        and does not hold up the others. images: vid_hash, keyframe_path, image_dense, a row a keyframe; without them an image_encoder
+        (see `models`) makes them; a chunk without one has no image vector. One caller ingests at a time.
         """
-        rows = commits.payload(chunking.chunks(spoken, scenes, keyframes), meta)
+        return self.publish(self.chunk(spoken, scenes, keyframes, attempt is not None), meta, attempt, build_graph, images, image_encoder)
+
+    def chunk(self, spoken: DataFrame, scenes: DataFrame, keyframes: DataFrame, again: bool = False) -> DataFrame:
+        """Phases 0 and 1: find out what is left to do, and chunk it."""
+        done = self.tracker.states().filter((F.col("phase") == 2) & (F.col("status") == "committed"))
+        left = spoken if again else not_done(spoken, done, "vid_hash")
+        videos = left.select("vid_hash").distinct()
+        self.tracker.mark_all(videos, 1, "processing")
+        chunking.chunks(left, scenes, keyframes).write.mode("overwrite").parquet(self.path("chunks"))
+        chunks = self.read("chunks")
+        made = chunks.select("vid_hash").distinct()
+        self.tracker.mark_all(made, 1, "committed")
+        self.tracker.mark_all(not_done(videos, made, "vid_hash"), 1, "failed", "no chunks")
+        return chunks
+
+    def publish(self, chunks: DataFrame, meta: DataFrame, attempt: int | None = None, build_graph: bool = True, images: DataFrame | None = None, image_encoder=None) -> DataFrame:
+        """Phase 2: points and graph of the chunks are appended under a new attempt, then committed at once."""
+        videos = chunks.select("vid_hash").distinct()
+        self.tracker.mark_all(videos, 2, "processing")
+        rows = commits.payload(chunks, meta)
+        if images is None and image_encoder is not None:
+            images = models.encode(chunking.with_keyframe(rows).select("vid_hash", "keyframe_path").distinct(), "keyframe_path", "image_dense", image_encoder)
         if images is None:
             rows = rows.withColumn("image_dense", F.lit(None).cast("array<float>"))
         else:
             rows = rows.join(images.select("vid_hash", "keyframe_path", F.col("image_dense").cast("array<float>").alias("image_dense")), ["vid_hash", "keyframe_path"], "left")
-        rows = commits.point_id(models.encode(rows, "text", "text_dense")).withColumn("attempt", F.lit(attempt))
+        number = self.next_attempt() if attempt is None else max(attempt, self.next_attempt())
+        rows = commits.point_id(models.encode(rows, "text", "text_dense")).withColumn("attempt", F.lit(number))
         commits.write_points(rows, self.path("points"))
-        commits.commit(self.path("commits"), rows.select("vid_hash", "attempt").distinct())
-        shown = self.visible()
+        # What follows reads what was written, so that nothing is encoded twice.
+        own = self.points().filter(F.col("attempt") == number)
         if build_graph:
-            own = shown.withColumn("ord", F.col("chunk_no") * 3 + F.col("part"))
-            known, edges = graph.build(own)
-            known.write.mode("overwrite").parquet(self.path("nodes"))
-            edges.write.mode("overwrite").parquet(self.path("edges"))
-        return commits.committed_counts(self.read("points"), self.read("commits"))
+            known, edges = graph.build(own.withColumn("ord", F.col("chunk_no") * 3 + F.col("part")))
+            ends = known.select(F.col("chunk_id").alias("src"), "vid_hash")
+            known.withColumn("attempt", F.lit(number)).write.mode("append").parquet(self.path("nodes"))
+            edges.join(ends, "src").withColumn("attempt", F.lit(number)).write.mode("append").parquet(self.path("edges"))
+        commits.commit(self.path("commits"), own.select("vid_hash", "attempt").distinct())
+        self.tracker.mark_all(videos, 2, "committed")
+        return commits.committed_counts(self.points(), self.read("commits"))
+
+    def next_attempt(self) -> int:
+        """Above every attempt that has left points or a commit, so that what a lost writer left is never seen."""
+        found = 0
+        for name in ("points", "commits"):
+            try:
+                found = max(found, self.read(name).agg(F.max("attempt")).first()[0] or 0)
+            except AnalysisException as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+        return found + 1
+
+    def points(self) -> DataFrame:
+        # Points of earlier versions have no image_dense.
+        return self.spark.read.option("mergeSchema", True).parquet(self.path("points"))
+
+    def graph(self, name: str) -> DataFrame:
+        """Nodes or edges of each video's last commit; a video's graph is appended with its points, others stay as they are."""
+        return commits.visible(self.read(name), self.read("commits")).drop("attempt", "commit_status")
 
     def visible(self) -> DataFrame:
-        # Points of earlier versions have no image_dense.
-        points = self.spark.read.option("mergeSchema", True).parquet(self.path("points"))
-        return commits.visible(points, self.read("commits"))
+        return commits.visible(self.points(), self.read("commits"))
 
     def search(self, queries: DataFrame, domain: str, filter_meta: str | None = None, k: int = search.TOP_K, flags: list[str] | None = None, use_graph: bool = False, hop_limit: object = 2) -> DataFrame:
         """Fused candidates of each query. queries: query_id, query, and image_dense where images are to be searched.
@@ -90,12 +135,11 @@ class Engine:
         found = fused.join(own.select("point_id", "chunk_id", "parent_chunk_id", "is_cross_scene_subchunk", "text", "keyframe_path", F.col("start").alias("start_sec"), F.col("end").alias("end_sec"), "scene_index"), "point_id")
         if not use_graph:
             return found
-        return graph.with_neighbours(found, self.read("edges"), self.read("nodes"), hop_limit)
+        return graph.with_neighbours(found, self.graph("edges"), self.graph("nodes"), hop_limit)
 
     def best(self, found: DataFrame, k: int) -> DataFrame:
-        """The k best of one query's rows, in order: as reranked, or as fused with neighbours in the graph last."""
-        order = ["score_rank"] if "score_rank" in found.columns else [F.desc("s_total"), F.asc_nulls_last("place"), "chunk_id"]
-        return found.orderBy(*order).limit(k)
+        """The k best of each query's rows, in order: as reranked, or as fused with neighbours in the graph last."""
+        return search.final_top(found, k).orderBy("query_id", "final_rank")
 
     def rerank(self, candidates: DataFrame, queries: DataFrame, tokens: int = selection.TOKENS) -> DataFrame:
         scored = search.lexical_rerank(candidates.join(queries, "query_id")).withColumn("score", F.col("rerank_score"))
@@ -108,7 +152,34 @@ class Engine:
         items = selection.knapsack_items(rows)
         chosen = selection.knapsack(items, max_images)
         picked = items.join(chosen.select("query_id", F.explode("item_ids").alias("item_id")), ["query_id", "item_id"])
-        return chosen.join(models.answer(picked), "query_id", "left")
+        used = picked.groupBy("query_id").agg(F.sum("weight").alias("slots_used"))
+        return chosen.join(used, "query_id", "left").withColumn("slots_used", F.coalesce("slots_used", F.lit(0))).join(models.answer(picked), "query_id", "left")
+
+    def provenance(self, candidates: DataFrame, chosen: DataFrame) -> DataFrame:
+        """query_id, trake: the chosen items' chunk, time and image, in order of value."""
+        rows = candidates if "rerank_score" in candidates.columns else candidates.withColumn("rerank_score", F.lit(None).cast("double"))
+        pair = F.coalesce(F.col("parent_chunk_id") != "", F.lit(False)) & F.coalesce("is_cross_scene_subchunk", F.lit(False))
+        rows = rows.withColumn("item_id", F.when(pair, F.col("parent_chunk_id")).otherwise(F.col("chunk_id")))
+        rows = rows.withColumns({"weight": F.when(pair, 2).otherwise(1), "value": F.coalesce("rerank_score", "s_total", F.lit(0.0))})
+        first = search.Window.partitionBy("query_id", "item_id").orderBy("start_sec", "chunk_id")
+        rows = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+        picked = rows.join(chosen.select("query_id", F.explode("item_ids").alias("item_id")), ["query_id", "item_id"])
+        told = selection.trake(picked)
+        item = F.struct((-F.col("knapsack_value")).alias("order"), F.struct(*[c for c in told.columns if c != "query_id"]).alias("x"))
+        return told.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["x"]).alias("trake"))
+
+    def components(self, queries: DataFrame, domain: str, k: int = TOP_K) -> DataFrame:
+        """query_id, point_id, key, space, rrf of every searched space, retrieved once for all weights; the key is the keyframe."""
+        own = search.matching(self.visible(), {"domain": domain})
+        asked = models.encode(queries, "query", "text_dense")
+        spaces = {
+            "semantic": search.dense_topk(own, asked, "text_dense", k),
+            "keyword": search.sparse_topk(search.postings(own, "point_id", "text"), search.postings(queries, "query_id", "query"), k),
+        }
+        return search.ranked_spaces(spaces).join(own.select("point_id", F.col("keyframe_path").alias("key")), "point_id")
+
+    def ground_truth(self, results: DataFrame, truth: DataFrame) -> DataFrame:
+        return evaluation.ground_truth_metrics(results, truth)
 
     def log(self, rows: DataFrame) -> None:
         """Queue query, context and answer for evaluation."""
@@ -122,4 +193,9 @@ class Engine:
 
     def tune(self, parts: DataFrame, targets: DataFrame, step: float = evaluation.STEP):
         """The best weights over the grid; retrieval is done once, in parts."""
-        return evaluation.best_weights(evaluation.grid_mrr(parts.persist(), targets, evaluation.grid(self.spark, step)))
+        parts = parts.persist()
+        try:
+            best = evaluation.best_weights(evaluation.grid_mrr(parts, targets, evaluation.grid(self.spark, step))).collect()
+        finally:
+            parts.unpersist()
+        return self.spark.createDataFrame(best, "alpha double, beta double, mean_mrr double, gamma double")

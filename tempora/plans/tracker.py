@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The columns of a state, and what marks a phase as rolled back.
 SCHEMA = "vid_hash string, phase int, status string, temp_workspace_path string, source_video_path string, error_message string, updated_at timestamp"
 ROLLED_BACK = "rolled_back_by_resume_phase"
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """The last state of each video and phase."""
+    """The last state of each video and phase; of states of one time a committed one, then a failed one."""
     rest = [c for c in log.columns if c not in ("vid_hash", "phase", "updated_at")]
-    best = log.groupBy("vid_hash", "phase").agg(F.max(F.struct("updated_at", *rest)).alias("s"))
-    return best.select("vid_hash", "phase", "s.*")
+    weight = F.when(F.col("status") == "committed", 2).when(F.col("status") == "failed", 1).otherwise(0).alias("weight")
+    best = log.groupBy("vid_hash", "phase").agg(F.max(F.struct("updated_at", weight, *rest)).alias("s"))
+    return best.select("vid_hash", "phase", "s.updated_at", *[f"s.{c}" for c in rest])
 
 
 def incomplete(states: DataFrame, phase: int) -> DataFrame:
@@ -53,6 +55,12 @@ class Tracker:
         row = self.spark.createDataFrame([(vid_hash, phase, status, workspace, source, error)], SCHEMA.rsplit(", ", 1)[0])
         row.withColumn("updated_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self.path)
 
+    def mark_all(self, videos: DataFrame, phase: int, status: str, error: str | None = None) -> None:
+        """The same state for every row of videos (vid_hash), in one write."""
+        told = videos.select("vid_hash", F.lit(phase).alias("phase"), F.lit(status).alias("status"), F.lit(error).cast("string").alias("error_message"), F.current_timestamp().alias("updated_at"))
+        told = told.withColumns({"temp_workspace_path": F.lit(None).cast("string"), "source_video_path": F.lit(None).cast("string")})
+        told.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("append").parquet(self.path)
+
     def record(self, vid_hash: str, phase: int):
         return self.states().filter((F.col("vid_hash") == vid_hash) & (F.col("phase") == phase)).first()
 

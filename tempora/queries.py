@@ -18,7 +18,7 @@ from .plans import commits, tracker
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-N_QUERIES, SPARSE_FLOOR = 20, 0.15
+ASKED_EVERY, SPARSE_FLOOR = 20, 0.15
 
 
 def query(sql: str | None = None):
@@ -47,7 +47,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).filter(F.col("point_id") < N_QUERIES).select(F.col("point_id").alias("query_id"), "embedding", "text_dense", "image_dense", "domain")
+    return points(spark, sf_dir).filter(F.col("point_id") % ASKED_EVERY == 0).select(F.col("point_id").alias("query_id"), "embedding", "text_dense", "image_dense", "domain")
 
 
 def components(rows: DataFrame, id_col: str) -> DataFrame:
@@ -97,13 +97,13 @@ def _dense_sql(lo: int, hi: int, where: str = "TRUE") -> str:
     return f"""SELECT query_id, point_id, score, rank FROM (
   SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(p.embedding[{lo}:{hi}]::DOUBLE[], q.embedding[{lo}:{hi}]::DOUBLE[]), 6) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(p.embedding[{lo}:{hi}]::DOUBLE[], q.embedding[{lo}:{hi}]::DOUBLE[]), 6) DESC, p.vec_id) AS rank
-  FROM embeddings p, embeddings q WHERE q.vec_id < {N_QUERIES} AND p.vec_id <> q.vec_id AND {where}) WHERE rank <= 20"""
+  FROM embeddings p, embeddings q WHERE q.vec_id % {ASKED_EVERY} = 0 AND p.vec_id <> q.vec_id AND {where}) WHERE rank <= 20"""
 
 
 _SPARSE_SQL = f"""SELECT query_id, point_id, score, rank FROM (SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM (
   SELECT q.id AS query_id, p.id AS point_id, round(sum(p.w * q.w), 6) AS score FROM
     (SELECT vec_id AS id, generate_subscripts(embedding, 1) AS t, unnest(embedding)::DOUBLE AS w FROM embeddings) p JOIN
-    (SELECT vec_id AS id, generate_subscripts(embedding, 1) AS t, unnest(embedding)::DOUBLE AS w FROM embeddings WHERE vec_id < {N_QUERIES}) q USING (t)
+    (SELECT vec_id AS id, generate_subscripts(embedding, 1) AS t, unnest(embedding)::DOUBLE AS w FROM embeddings WHERE vec_id % {ASKED_EVERY} = 0) q USING (t)
   WHERE p.w > {SPARSE_FLOOR} AND q.w > {SPARSE_FLOOR} AND p.id <> q.id GROUP BY ALL)) WHERE rank <= 20"""
 
 _SPACES_SQL = f"""spaces AS (SELECT 0 AS space, * FROM ({_dense_sql(1, 32)}) UNION ALL SELECT 1, * FROM ({_dense_sql(33, 64)}) UNION ALL SELECT 2, * FROM ({_SPARSE_SQL}))"""
@@ -155,7 +155,7 @@ h AS (SELECT query_id, id AS point_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) /
   FROM tf JOIN q USING (term) JOIN df USING (term) JOIN s USING (id), c WHERE TRUE GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM h) WHERE rank <= 20""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = search.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return search.bm25_topk(docs, search.postings(table(spark, sf_dir, "benchmark"), "item_id", "text"))
 
 
@@ -233,11 +233,11 @@ def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {CLICKS}, step AS (SELECT * FROM (SELECT chunk_id AS src, lead(chunk_id) OVER (PARTITION BY vid_hash ORDER BY start_s, ord) AS dst FROM clicks) WHERE dst IS NOT NULL),
-walk AS (SELECT src AS seed, dst AS chunk_id, 1 AS n FROM step WHERE src::BIGINT % 100 = 0 UNION ALL SELECT seed, dst, n + 1 FROM walk JOIN step ON chunk_id = src WHERE n < 3)
+walk AS (SELECT src AS seed, dst AS chunk_id, 1 AS n FROM step WHERE src::BIGINT % {ASKED_EVERY} = 0 UNION ALL SELECT seed, dst, n + 1 FROM walk JOIN step ON chunk_id = src WHERE n < 3)
 SELECT DISTINCT seed, chunk_id FROM walk""")
 def hop_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clicks(spark, sf_dir)
-    return graph.hop_temporal(graph.next_event_edges(rows), rows.filter("ord % 100 = 0"), 3)
+    return graph.hop_temporal(graph.next_event_edges(rows), rows.filter(F.col("ord") % ASKED_EVERY == 0), 3)
 
 
 @query(f"WITH {_EDGES_SQL}, {_SEEDS_SQL} SELECT DISTINCT src AS seed, dst AS chunk_id FROM edges WHERE type = 'SAME_SCENE' AND src IN (FROM seeds)")
@@ -369,14 +369,12 @@ def info_frame_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", keep.alias("keep"))
 
 
-@query("""WITH r AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding[1:16], lambda x: x::DOUBLE * x::DOUBLE)) / 16 + 1e-12::DOUBLE) AS r, list_max(list_transform(embedding[1:16], lambda x: abs(x::DOUBLE))) AS peak FROM embeddings)
-SELECT vec_id, round(r, 6) AS rms, round(r, 6) < 0.12::DOUBLE AS skipped, CASE WHEN round(r, 6) < 0.12::DOUBLE THEN 'rms_below_epsilon' END AS reason, round(peak, 6) AS peak FROM r""")
+@query("""WITH r AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding[1:64], lambda x: x::DOUBLE * x::DOUBLE)) / 64 + 1e-12::DOUBLE) AS r, list_max(list_transform(embedding[1:64], lambda x: abs(x::DOUBLE))) AS peak FROM embeddings)
+SELECT vec_id, round(r, 6) AS rms, r < 0.12::DOUBLE AS skipped, CASE WHEN r < 0.12::DOUBLE THEN 'rms_below_epsilon' END AS reason, round(peak, 6) AS peak FROM r""")
 def rms_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 16).alias("samples"))
-    gated = signals.rms_gate(rows, "samples", 0.12)
-    quiet = F.col("rms") < 0.12
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 64).alias("samples"))
     peak = F.array_max(F.transform(vectors.doubles(F.col("samples")), F.abs))
-    return gated.withColumn("rms", F.round("rms", 6)).select("vec_id", "rms", quiet.alias("skipped"), F.when(quiet, "rms_below_epsilon").alias("reason"), F.round(peak, 6).alias("peak"))
+    return signals.rms_gate(rows, "samples", 0.12).select("vec_id", F.round("rms", 6).alias("rms"), "skipped", "reason", F.round(peak, 6).alias("peak"))
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(list_zip(embedding[1:32], embedding[33:60]), lambda p: greatest(-1.0::DOUBLE, least(1.0::DOUBLE, p[1]::DOUBLE - p[2]::DOUBLE))) [1:28]), 5) AS total FROM embeddings""")
@@ -417,12 +415,12 @@ def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 5 = 0")
+    e = table(spark, sf_dir, "events")
     weight = F.when(F.col("event_type").isin("click", "purchase"), 2).otherwise(1)
     return e.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("item_id"), F.col("event_id").alias("ord"), weight.alias("weight"), (F.round("value", 2) - 5 + F.col("event_id") / 1e7).alias("value"))
 
 
-_ITEMS_SQL = """i AS (SELECT user_id AS q, event_id AS id, CASE WHEN event_type IN ('click', 'purchase') THEN 2 ELSE 1 END AS w, round(value, 2) - 5 + event_id / 1e7 AS v FROM events WHERE event_id % 5 = 0),
+_ITEMS_SQL = """i AS (SELECT user_id AS q, event_id AS id, CASE WHEN event_type IN ('click', 'purchase') THEN 2 ELSE 1 END AS w, round(value, 2) - 5 + event_id / 1e7 AS v FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY q, w ORDER BY v DESC, id) AS n FROM i WHERE v > 0),
 k AS (SELECT q, j, coalesce((SELECT sum(v) FROM r WHERE r.q = u.q AND w = 2 AND n <= j), 0) + coalesce((SELECT sum(v) FROM r WHERE r.q = u.q AND w = 1 AND n <= 4 - 2 * j), 0) AS v FROM (SELECT DISTINCT q FROM i) u, (VALUES (0), (1), (2)) AS t(j)),
 b AS (SELECT q, max(v) AS v, min_by(j, -v) AS j FROM k GROUP BY q)"""
@@ -506,7 +504,7 @@ def gt_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT round(i * 0.1::DOUBLE, 3) AS alpha, round(j * 0.1::DOUBLE, 3) AS beta FROM range(11) t(i), range(11) u(j) WHERE i + j <= 10),
 r AS (SELECT alpha, beta, query_id, point_id, row_number() OVER (PARTITION BY alpha, beta, query_id ORDER BY round(alpha * a + beta * b + greatest(0.0::DOUBLE, 1 - alpha - beta) * c, 10) DESC, point_id) AS n FROM s, g),
 h AS (SELECT alpha, beta, query_id, min(n) AS n FROM r JOIN embeddings p ON p.vec_id = point_id JOIN embeddings q ON q.vec_id = query_id WHERE p.label = q.label GROUP BY ALL)
-SELECT alpha, beta, round(avg(coalesce(1.0::DOUBLE / n, 0)), 5) AS mean_mrr FROM (SELECT alpha, beta, vec_id AS query_id FROM g, embeddings WHERE vec_id < {N_QUERIES}) LEFT JOIN h USING (alpha, beta, query_id) GROUP BY ALL""")
+SELECT alpha, beta, round(avg(coalesce(1.0::DOUBLE / n, 0)), 5) AS mean_mrr FROM (SELECT alpha, beta, vec_id AS query_id FROM g, embeddings WHERE vec_id % {ASKED_EVERY} = 0) LEFT JOIN h USING (alpha, beta, query_id) GROUP BY ALL""")
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.ranked_spaces(hits(spark, sf_dir)).join(points(spark, sf_dir).select("point_id", F.col("domain").alias("key")), "point_id")
     targets = asked(spark, sf_dir).select("query_id", F.col("domain").alias("expected"))
@@ -568,12 +566,16 @@ def vid_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", named.alias("vid_hash")).filter("vid_hash IS NOT NULL")
 
 
-@query("""SELECT c AS column_name FROM (SELECT unnest(['doc_id', 'lang', 'n_chars', 'quality', 'source', 'text', 'toxic']) AS c)""")
+@query("""WITH r AS (SELECT doc_id, lang, n_chars, NULL::INT AS quality, source, text, NULL::INT AS toxic FROM documents UNION ALL SELECT doc_id, NULL, NULL, quality, NULL, NULL, toxic FROM labels),
+n AS (SELECT count(doc_id) AS a, count(lang) AS b, count(n_chars) AS c, count(quality) AS d, count(source) AS e, count(text) AS f, count(toxic) AS g FROM r)
+SELECT unnest(range(7)) AS place, unnest(['doc_id', 'lang', 'n_chars', 'quality', 'source', 'text', 'toxic']) AS column_name, unnest([a, b, c, d, e, f, g]) AS filled FROM n""")
 def export_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.sinks import csv_columns
 
     both = table(spark, sf_dir, "documents").unionByName(table(spark, sf_dir, "labels"), allowMissingColumns=True)
-    return spark.createDataFrame([(c,) for c in csv_columns(both).columns], "column_name string")
+    report = csv_columns(both)
+    filled = report.agg(*[F.count(c).alias(c) for c in report.columns])
+    return filled.select(F.posexplode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("filled")) for c in report.columns])).alias("place", "x")).select(F.col("place").cast("long").alias("place"), "x.*")
 
 
 def queries() -> dict[str, Query]:

@@ -35,6 +35,17 @@ def load(path: str, env: Mapping[str, str] | None = None) -> dict:
     return interpolate(yaml.safe_load(text) or {}, env)
 
 
+def save(path: str, settings: dict) -> None:
+    """Write settings as JSON, or as YAML where the name says so and a YAML parser is installed."""
+    if path.endswith(".json"):
+        text = json.dumps(settings, indent=2, ensure_ascii=False)
+    else:
+        import yaml  # an optional extra
+
+        text = yaml.safe_dump(settings, allow_unicode=True, sort_keys=False)
+    Path(path).write_text(text, encoding="utf-8")
+
+
 def weights_of(settings: dict, domain: str, alpha: float = 0.6, beta: float = 0.2) -> tuple[float, float]:
     found = settings.get("domains", {}).get(domain, {})
     return float(found.get("alpha", alpha)), float(found.get("beta", beta))

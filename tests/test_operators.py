@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import media, text, vectors
 from tempora.operators import chunking, evaluation, graph, models, search, selection
-from tempora.plans import cli, commits
+from tempora.plans import cli, commits, tracker
 from tempora.plans.engine import Engine, phase_plan
 from tempora.plans.tracker import Tracker
 from tempora.sources import config, readers, sinks
@@ -367,6 +367,101 @@ def test_command_line_refuses_what_it_does_not_do(tmp_path, argv):
         cli.main(["--root", f"file://{tmp_path}/e", *argv])
 
 
+def _match(spark, n=8):
+    spoken = [(f"v{k}", 0, " ".join(["goal"] * (k + 1) + [f"filler{k}_{j}" for j in range(n - k)]) + ".", 0.0, 4.0) for k in range(n)]
+    spoken += [(f"v{k}", 1, f"then nothing of note {k}.", 20.0, 24.0) for k in range(n)]
+    scenes = [(f"v{k}", i, 10.0 * i, 10.0 * i + 10) for k in range(n) for i in range(3)]
+    frames = [(f"v{k}", i, 0, f"v{k}_{i}.jpg") for k in range(n) for i in range(3)]
+    return spark.createDataFrame(spoken, SPOKEN), spark.createDataFrame(scenes, SCENES), spark.createDataFrame(frames, "vid_hash string, scene_index int, ord int, keyframe_path string"), spark.createDataFrame([(f"v{k}", "sport") for k in range(n)], "vid_hash string, domain string")
+
+
+def test_engine_skips_what_is_committed_and_never_shows_a_lost_attempt(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/e")
+    spoken, scenes, frames, meta = _match(spark, 3)
+    count = lambda: engine.visible().count()
+    engine.ingest(spoken.filter("vid_hash <> 'v2'"), scenes, frames, meta)
+    first = count()
+    # A writer is lost after its points were written.
+    points = engine.points().filter("vid_hash = 'v0'").withColumn("attempt", F.lit(2))
+    commits.write_points(points, engine.path("points"))
+    assert count() == first
+    engine.ingest(spoken, scenes, frames, meta)
+    assert {r.vid_hash: r.n for r in engine.visible().groupBy("vid_hash").agg(F.count("*").alias("n")).collect()} == {"v0": 2, "v1": 2, "v2": 2}
+    assert engine.read("points").filter("vid_hash = 'v1'").select("attempt").distinct().count() == 1
+    engine.ingest(spoken, scenes, frames, meta, attempt=1)
+    assert count() == 6 and engine.graph("nodes").count() == 6
+    assert engine.graph("edges").filter("type = 'NEXT_EVENT'").count() == 3
+
+
+def test_a_video_without_chunks_fails_alone(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/e")
+    spoken, scenes, frames, meta = _match(spark, 2)
+    blank = spark.createDataFrame([("bad", 0, "  ", 0.0, 1.0)], SPOKEN)
+    engine.ingest(spoken.unionByName(blank), scenes, frames, meta, build_graph=False)
+    states = {(r.vid_hash, r.phase): r.status for r in engine.tracker.states().collect()}
+    assert states["bad", 1] == "failed" and states["v0", 2] == "committed" and ("bad", 2) not in states
+
+
+def test_graph_search_keeps_each_querys_neighbours(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/e")
+    engine.ingest(*_match(spark, 3))
+    q = spark.createDataFrame([("a", "goal filler0_0"), ("b", "goal filler1_0")], "query_id string, query string")
+    found = engine.search(q, "sport", k=1, flags=["keyword"], use_graph=True)
+    got = {(r.query_id, r.chunk_id[:2] if False else r.text) for r in found.collect()}
+    assert {(i, t) for i, t in got if t.startswith("then")} and all(i for i, _ in got)
+    for i in ("a", "b"):
+        assert len([t for j, t in got if j == i and t.startswith("then")]) == 1
+    packed = engine.rerank(found, q)
+    assert {r.query_id for r in packed.collect()} == {"a", "b"} and packed.filter("s_total = 0").count() == 2
+    answers = engine.answer(found).collect()
+    assert {r.query_id for r in answers} == {"a", "b"} and all(r.slots_used >= 1 for r in answers)
+
+
+def test_command_line_from_tables_to_weights(spark, tmp_path, capsys):
+    root, given = f"file://{tmp_path}/e", f"file://{tmp_path}/in"
+    for name, rows in zip(("spoken", "scenes", "keyframes", "meta"), _match(spark), strict=True):
+        rows.write.parquet(f"{given}/{name}")
+    settings = str(tmp_path / "settings.json")
+    told = lambda: [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert cli.main(["--root", root, "--run_phase", "all", "--input_dir", given, "--build_graph"]) == 0
+    assert told() == [{"videos": 8}]
+    base = ["--root", root, "--query", "goal", "--domain", "sport"]
+    assert cli.main([*base, "-s", "-t", "3", "-outcsv"]) == 0
+    assert [set(r) for r in told()] == [{"chunk_id", "text", "keyframe_path", "score", "place"}] * 3
+    assert cli.main([*base, "-qa", "-rr", "-tr", "--use_graph"]) == 0
+    (answer,) = told()
+    assert answer["slots_used"] >= 1 and answer["trake"][0]["timestamp"] is not None
+    (tmp_path / "truth.json").write_text(json.dumps([{"query": "goal", "expected_keyframe": "v0_0.jpg", "expected_answer": answer["answer"]}]))
+    assert cli.main(["--root", root, "--run_phase", "4", "--eval_sample_rate", "1", "--ground_truth_path", f"file://{tmp_path}/truth.json"]) == 0
+    tier1, tier2, truth = told()
+    assert sum(tier1.values()) == 1 and tier2["judged"] == tier1["deep_queue"]
+    pairs = json.dumps([[f"filler{k}_0", f"v{k}_0.jpg"] for k in range(6)])
+    assert cli.main(["--root", root, "--domain", "sport", "--tune_weights", "--target_kf", pairs, "--save_domain", "sport", "--settings_path", settings]) == 0
+    (best,) = told()
+    saved = json.loads(open(settings).read())["domains"]["sport"]
+    assert best["mean_mrr"] > 0 and saved["alpha"] == best["alpha"] and "gamma_matrix" in saved
+
+
+def test_full_text_and_final_places(spark):
+    rows = spark.createDataFrame([("v", 1, " b "), ("v", 0, "a")], "vid_hash string, segment_id int, text string")
+    assert chunking.full_text(rows, ["vid_hash"]).first().full_text == "a b"
+    made = models.sparse_terms(F.lit("to be or not to be"))
+    assert dict(spark.range(1).select(made.alias("m")).first().m) == {"to": 2.0, "be": 2.0, "or": 1.0, "not": 1.0}
+    assert dict(spark.range(1).select(models.sparse_terms(F.lit("")).alias("m")).first().m) == {}
+
+
+def test_exact_sample_is_that_of_a_full_sort(spark):
+    rows = spark.range(997)
+    digest = F.md5(F.concat_ws(":", F.lit(42), F.col("id").cast("string")))
+    want = {r.id for r in rows.orderBy(digest, "id").limit(99).collect()}
+    assert {r.id for r in evaluation.exact_sample(rows, "id", 0.1).collect()} == want
+
+
+def test_committed_state_wins_a_tie(spark):
+    log = spark.createDataFrame([("v", 1, "committed", 5), ("v", 1, "processing", 5)], "vid_hash string, phase int, status string, updated_at int")
+    assert tracker.latest(log).first().status == "committed"
+
+
 def test_engine_finds_by_image(spark, tmp_path):
     engine = Engine(spark, f"file://{tmp_path}/e")
     spoken = spark.createDataFrame([("v", 0, "the goal was late.", 0.0, 4.0), ("u", 0, "final whistle.", 0.0, 2.0)], SPOKEN)
