@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, exact dedup, near-dedup, decontamination, byte-level BPE.
 
 Counted with the subpackage `tempora.llm`. Every stage works on all that its predecessor kept and is written as Parquet
-before the next one reads it; all but the last return the columns of documents.
+before the next one reads it; all but the last return the columns of documents, and columns beyond those are kept under their
+own names. An empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -14,27 +15,31 @@ from tempora.llm.common import stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold; learns from labels of the documents that are not held out."""
+    """Documents scored below the threshold; learns from labels of the documents that are not held out.
+
+    Null and empty texts are scored like a text without any term. Without labels, or without documents, nothing is learnt and
+    every text has one score. Rows that repeat are scored each.
+    """
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """The smallest id of each group of equal texts."""
+    """The smallest id of each group of equal texts; null and empty texts are one group, null ids come last."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """The smallest id of each class of near-duplicates."""
+    """The smallest id of each class of near-duplicates; texts without words are one class, null ids come last."""
     return minhash.keep_representatives(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null texts hold none, and an empty benchmark leaves all."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """doc_id, source, lang, ids, n_tokens, and whether decoding gives the text's bytes back."""
+    """doc_id, source, lang, ids, n_tokens, and whether decoding gives the text's bytes back; a null text has no ids."""
     coder = bpe.default_tokenizer(spark)
     out = coder.encode(docs)
     same = coder.decode(F.col("ids")) == F.coalesce("text", F.lit("")).cast("binary")
@@ -49,7 +54,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: A trained classifier, LSH and BPE are beyond SQL; tests hold the stages against brute force.
+#: A trained classifier, LSH and BPE are beyond SQL; tests hold the operators of the stages against brute force.
 ORACLE_SQL = None
 
 
