@@ -101,18 +101,20 @@ def _search(engine: Engine, a: argparse.Namespace) -> None:
     domain = resolve_domain(spark, a.domain, a.meta_path)
     q = spark.createDataFrame([("q", a.query)], "query_id string, query string")
     look = lambda asked: engine.search(asked, domain, a.filter_meta, a.top_k, use_graph=a.use_graph, hop_limit=a.hop_limit)
+    # One query, its answer or at most top_k rows: kept as they are, or each use would plan and run the search again.
+    held = lambda rows: spark.createDataFrame(rows.collect(), rows.schema)
     found = look(q)
     if a.question_answer:
-        q = search.answered_query(q, found)
+        q = held(search.answered_query(q, found).select("query_id", "query"))
         found = look(q)
     found = engine.rerank(found, q) if a.rerank else found
-    best = engine.best(found, a.top_k)
+    best = held(engine.best(found, a.top_k))
     if a.search_only:
         shown = best.withColumn("score", F.coalesce("rerank_score", "s_total") if "rerank_score" in best.columns else F.col("s_total"))
         return _show(shown.orderBy("final_rank").select("chunk_id", "text", "keyframe_path", "score", "place"), engine, "search", a)
-    answer = engine.answer(best, a.max_context_images)
+    answer = held(engine.answer(best, a.max_context_images))
     if a.trake_mode:
-        answer = answer.join(engine.provenance(best, answer), "query_id", "left")
+        answer = held(answer.join(engine.provenance(best, answer), "query_id", "left"))
     told = F.array_join(F.collect_list("text"), "\n").alias("context")
     engine.log(answer.join(q, "query_id").join(best.groupBy("query_id").agg(told), "query_id"))
     return _show(answer, engine, "answer", a)
