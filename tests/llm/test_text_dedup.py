@@ -41,7 +41,9 @@ def test_substring_dedup_of_nothing(spark):
     assert substring_dedup.substring_dedup(frame(spark, [])).collect() == []
 
 
-def jaccard_classes(rows, threshold):
+def near_groups(rows, threshold):
+    """Places of the rows of each class."""
+
     def grams(t):
         w = words(t, lower=True)
         return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
@@ -62,8 +64,13 @@ def jaccard_classes(rows, threshold):
                 label[root(a)] = root(b)
     groups = defaultdict(list)
     for k in range(len(rows)):
-        groups[root(k)].append(rows[k][0])
-    return Counter((i, min((x for x in ids if x is not None), default=None), len(ids)) for ids in groups.values() for i in ids), len(groups)
+        groups[root(k)].append(k)
+    return list(groups.values())
+
+
+def jaccard_classes(rows, threshold):
+    groups = [[rows[k][0] for k in group] for group in near_groups(rows, threshold)]
+    return Counter((i, min((x for x in ids if x is not None), default=None), len(ids)) for ids in groups for i in ids), len(groups)
 
 
 def test_near_duplicates_match_brute_force(spark):
