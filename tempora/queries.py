@@ -6,14 +6,18 @@ timelines are `conversations` and `events`; texts are `documents` and `benchmark
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import media, text, vectors
-from .operators import chunking, evaluation, graph, search, selection, signals
+from .operators import chunking, evaluation, graph, models, search, selection, signals
 from .plans import commits, tracker
+from .sources import sinks
+from .streaming import queues
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -578,6 +582,131 @@ def export_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select(F.posexplode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("filled")) for c in report.columns])).alias("place", "x")).select(F.col("place").cast("long").alias("place"), "x.*")
 
 
+# Items, provenance, judged answers -----------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT conv_id AS query_id, turn AS ord, conv_id || ':' || turn AS chunk_id, conv_id || '|' || role AS parent, role = 'user' AS pair, text, role || '.jpg' AS path, CASE WHEN turn % 2 = 0 THEN length(text)::DOUBLE END AS s FROM conversations),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, pair, CASE WHEN pair THEN parent ELSE chunk_id || '|' || ord END ORDER BY ord) AS n FROM c),
+p AS (SELECT conv_id || '|user' AS parent, text AS other, 'other.jpg' AS second FROM conversations WHERE turn = 1)
+SELECT query_id, CASE WHEN pair THEN f.parent ELSE chunk_id END AS item_id, ord, CASE WHEN pair THEN 2 ELSE 1 END::INT AS weight, coalesce(s, 1.0::DOUBLE) AS value, md5(trim(concat_ws(' ', text, other))) AS text_md5, concat_ws(',', path, second) AS keyframe_paths
+FROM f LEFT JOIN p ON pair AND f.parent = p.parent WHERE n = 1""")
+def knapsack_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select(
+        F.col("conv_id").alias("query_id"), F.col("turn").alias("ord"), F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), F.concat_ws("|", "conv_id", "role").alias("parent_chunk_id"), (F.col("role") == "user").alias("is_cross_scene_subchunk"), "text",
+        F.concat("role", F.lit(".jpg")).alias("keyframe_path"), F.when(F.col("turn") % 2 == 0, F.char_length("text").cast("double")).alias("rerank_score"), F.lit(1.0).alias("s_total"),
+    )
+    partners = c.filter("turn = 1").select(F.concat("conv_id", F.lit("|user")).alias("parent_chunk_id"), "text", F.lit("other.jpg").alias("keyframe_path"))
+    out = selection.knapsack_items(rows, partners)
+    return out.select("query_id", "item_id", "ord", "weight", "value", F.md5("text").alias("text_md5"), F.array_join("keyframe_paths", ",").alias("keyframe_paths"))
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that the knapsack takes, each event lasting a second."""
+    items = _items(spark, sf_dir)
+    picks = selection.knapsack(items).select("query_id", F.explode(F.col("item_ids").cast("array<bigint>")).alias("item_id"))
+    at = F.col("item_id").cast("double")
+    own = items.select("query_id", "item_id", "weight", F.round("value", 2).alias("value"), at.alias("start_sec"), (at + 1).alias("end_sec"), F.concat("item_id", F.lit(".jpg")).alias("keyframe_path"))
+    return own.join(picks, ["query_id", "item_id"])
+
+
+_TAKEN = "b JOIN (SELECT q, id, w, n, v FROM r) r USING (q) WHERE (w = 2 AND n <= j) OR (w = 1 AND n <= 4 - 2 * j)"
+
+
+@query(f"WITH {_ITEMS_SQL} SELECT q AS query_id, id AS chunk_id, id + 0.5::DOUBLE AS timestamp, id || '.jpg' AS keyframe_path, w::INT AS weight_used FROM {_TAKEN}")
+def trake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.trake(_selected(spark, sf_dir)).drop("knapsack_value")
+
+
+@query(f"WITH {_ITEMS_SQL} SELECT q AS query_id, sum(w)::BIGINT AS slots_used FROM {_TAKEN} GROUP BY q")
+def slots_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selected(spark, sf_dir).groupBy("query_id").agg(F.sum("weight").alias("slots_used"))
+
+
+@query("SELECT conv_id AS query_id, md5(string_agg(text, ' ' ORDER BY turn)) AS text_md5 FROM conversations WHERE text <> '' GROUP BY conv_id")
+def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "query_id")
+    return selection.context(rows, "turn", " ").select("query_id", F.md5("context").alias("text_md5"))
+
+
+_WORDS_OF = r"list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce({0}, '')), '\s+', ' ', 'g')), ' '), lambda x: x <> ''))"
+_RECALL = "CASE WHEN len({1}) > 0 THEN len(list_intersect({0}, {1})) / len({1}) ELSE 0 END::DOUBLE"
+_TRIAD_SQL = f"""t AS (SELECT conv_id, max(text) FILTER (turn = 0) AS q, max(text) FILTER (turn = 1) AS c, max(text) FILTER (turn = 2) AS a FROM conversations GROUP BY conv_id),
+w AS (SELECT conv_id, q, {_WORDS_OF.format("q")} AS wq, {_WORDS_OF.format("c")} AS wc, {_WORDS_OF.format("a")} AS wa FROM t),
+s AS (SELECT conv_id, q, {_RECALL.format("wc", "wq")} AS a, {_RECALL.format("wc", "wa")} AS b, {_RECALL.format("wa", "wq")} AS c FROM w)"""
+_JUDGE_SQL = "greatest(1, least(5, floor((a + b + c) / 3 * 5)::INT + 1))"
+
+
+def _asked_and_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turn(0).alias("query"), turn(1).alias("context"), turn(2).alias("answer"))
+
+
+@query(f"WITH {_TRIAD_SQL} SELECT conv_id, round(a, 6) AS score_relevance, round(b, 6) AS score_ground, round(c, 6) AS score_answer_relevance, {_JUDGE_SQL}::INT AS tier2_score FROM s")
+def triad_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = models.triad(_asked_and_answered(spark, sf_dir))
+    scores = [F.round(c, 6).alias(c) for c in ("score_relevance", "score_ground", "score_answer_relevance")]
+    return rows.select("conv_id", *scores, models.judge().alias("tier2_score"))
+
+
+@query(f"""WITH {_SCORES_SQL}, d AS (SELECT round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c FROM s WHERE {_VERDICT_SQL} = 'deep_queue'), j AS (SELECT {_JUDGE_SQL} AS score FROM d)
+SELECT count(*) AS judged, count(*) FILTER (score >= 4) AS passed, count(*) FILTER (score < 4) AS failed FROM j""")
+def tier2_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.tier2_counts(evaluation.tier2(evaluation.tier1(_scores(spark, sf_dir)), models.judge()))
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only in local mode where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='tempora-')).rstrip('/')}/queue-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_TRIAD_SQL} SELECT md5(q) AS query_md5, round(a, 4) AS score_relevance, round(b, 4) AS score_ground, round(c, 4) AS score_answer_relevance, {_VERDICT_SQL} AS verdict FROM s WHERE q IS NOT NULL")
+def eval_queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue is logged twice and drained after each: the second run takes only what is new."""
+    top = _shared(spark)
+    rows = _asked_and_answered(spark, sf_dir).filter("query IS NOT NULL")
+    for half in (0, 1):
+        sinks.append_jsonl(rows.filter(F.col("conv_id") % 2 == half).select("query", "context", "answer"), f"{top}/queue")
+        queues.evaluate_queue(spark, f"{top}/queue", f"{top}/report", f"{top}/checkpoint")
+    return spark.read.parquet(f"{top}/report").select(F.md5("query").alias("query_md5"), "score_relevance", "score_ground", "score_answer_relevance", "verdict")
+
+
+# Names, thresholds, committed points -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {TALK}, m AS (SELECT chunk_id, scene, (start_s + end_s) / 2 AS mid, CASE WHEN ord % 3 > 0 THEN (ord % 3 * 10)::DOUBLE ELSE 25.0::DOUBLE END AS fps FROM talk)
+SELECT chunk_id, round(mid, 3) AS timestamp, printf('scene_%04d_f%d.jpg', scene, floor(mid * fps)::INT) AS keyframe FROM m""")
+def keyframe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mid, frame = media.mid_frame(F.col("start"), F.col("end"), F.col("ord") % 3 * 10)
+    return talk(spark, sf_dir).select("chunk_id", F.round(mid, 3).alias("timestamp"), media.keyframe_name(F.col("scene_index"), frame).alias("keyframe"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 101 / 100.0::DOUBLE >= 0.55::DOUBLE THEN 'verified' WHEN event_id % 101 / 100.0::DOUBLE >= 0.3::DOUBLE THEN 'partial' ELSE 'unsupported' END AS certificate,
+  CASE WHEN value < 20 THEN 0.45::DOUBLE ELSE 0.6::DOUBLE END AS ocr_threshold FROM events""")
+def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    certified = media.certificate(F.col("event_id") % 101 / F.lit(100.0))
+    threshold = media.ocr_threshold(F.col("value"), F.lit(20.0), F.lit(0.45), F.lit(0.6))
+    return table(spark, sf_dir, "events").select("event_id", certified.alias("certificate"), threshold.alias("ocr_threshold"))
+
+
+@query("""WITH c AS (SELECT user_id, max(event_id % 4) AS attempt FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT user_id AS vid_hash, count(*) AS n_points FROM events JOIN c USING (user_id) WHERE event_id % 4 = attempt GROUP BY user_id""")
+def committed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("vid_hash"), (F.col("event_id") % 4).alias("attempt"), "event_type")
+    return commits.committed_counts(e, e.filter("event_type = 'purchase'").select("vid_hash", "attempt"))
+
+
+@query("""WITH p AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS peak FROM embeddings),
+n AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN peak > 0 THEN x::DOUBLE / peak ELSE x::DOUBLE END) AS v FROM p)
+SELECT vec_id, round(list_sum(v), 4) AS total, round(list_max(list_transform(v, lambda x: abs(x))), 6) AS peak FROM n""")
+def peak_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors.peak_normalize(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.total(v), 4).alias("total"), F.round(F.array_max(F.transform(v, F.abs)), 6).alias("peak"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
