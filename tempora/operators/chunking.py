@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ends_sentence
+from ..sources.staging import stage
 
 MAX_CHARS, MAX_SECONDS, EPSILON, BUCKET_SECONDS = 400, 15.0, 1e-6, 600
+#: Rows of a block of the timeline, more where a chunk may hold more; monotonically_increasing_id() holds the partition above these bits.
+BLOCK_ROWS, PLACE_BITS = 512, 33
 
 
 def sentences(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,23 +26,30 @@ def sentences(words: DataFrame, keys: list[str]) -> DataFrame:
     return out.filter("text <> ''")
 
 
-def scene_at(rows: DataFrame, scenes: DataFrame, at: Column, key: list[str], into: str = "scene_index", last: DataFrame | None = None) -> DataFrame:
-    """rows with the scene that holds the time `at`; rows keep their number.
+def scene_at(rows: DataFrame, scenes: DataFrame, at: Column, key: list[str], into: str = "scene_index") -> DataFrame:
+    """rows with the scene that holds the time `at`; see `scenes_at`."""
+    return scenes_at(rows, scenes, {into: at}, key)
+
+
+def scenes_at(rows: DataFrame, scenes: DataFrame, times: dict[str, Column], key: list[str]) -> DataFrame:
+    """rows with the scene that holds each of the `times`, by name; rows keep their number.
 
     key: columns that tell rows apart. The first scene with start <= t < end counts; past the end of the last scene it
-    is the last, anywhere else 0, also where a video has no scenes. Scenes and times meet in buckets of time by an equal
-    join, so that no video's scenes are compared with all of its rows.
+    is the last, anywhere else 0, also where a video has no scenes. Scenes and times meet in buckets of time by one equal
+    join for all times, so that no video's scenes are compared with all of its rows.
     """
     bucket = lambda c: F.floor(c / BUCKET_SECONDS)
     spread = scenes.select("vid_hash", F.col("scene_index").alias("_scene"), "start_sec", "end_sec").filter("start_sec < end_sec")
     spread = spread.withColumn("_b", F.explode(F.sequence(bucket(F.col("start_sec")), bucket(F.col("end_sec")))))
-    timed = rows.withColumn("_t", at).withColumn("_b", bucket(F.col("_t")))
-    hit = timed.select(*key, "_t", "_b").join(spread, ["vid_hash", "_b"]).filter("_t >= start_sec AND _t < end_sec")
-    hit = hit.groupBy(*key).agg(F.min("_scene").alias("_found"))
-    ends = last or scenes.groupBy("vid_hash").agg(F.max_by("end_sec", "scene_index").alias("_end"), F.max("scene_index").alias("_last"))
-    out = timed.drop("_b").join(hit, key, "left").join(ends, "vid_hash", "left")
-    scene = F.coalesce("_found", F.when(F.col("_t") >= F.col("_end"), F.col("_last")), F.lit(0))
-    return out.withColumn(into, scene.cast("int")).drop("_t", "_found", "_end", "_last")
+    names = list(times)
+    timed = rows.withColumn("_times", F.array(*[times[n].cast("double") for n in names]))
+    each = timed.select(*key, F.posexplode("_times").alias("_i", "_t")).withColumn("_b", bucket(F.col("_t")))
+    hit = each.join(spread, ["vid_hash", "_b"]).filter("_t >= start_sec AND _t < end_sec")
+    hit = hit.groupBy(*key).agg(*[F.min(F.when(F.col("_i") == i, F.col("_scene"))).alias(f"_found{i}") for i in range(len(names))])
+    ends = scenes.groupBy("vid_hash").agg(F.max_by("end_sec", "scene_index").alias("_end"), F.max("scene_index").alias("_last"))
+    out = timed.join(hit, key, "left").join(ends, "vid_hash", "left")
+    scene = lambda i: F.coalesce(F.col(f"_found{i}"), F.when(F.get("_times", F.lit(i)) >= F.col("_end"), F.col("_last")), F.lit(0)).cast("int")
+    return out.select(*rows.columns, *[scene(i).alias(n) for i, n in enumerate(names)])
 
 
 def scene_keyframes(keyframes: DataFrame) -> DataFrame:
@@ -57,33 +67,106 @@ def split_at(text: Column, start: Column, end: Column, boundary: Column) -> tupl
     return part(F.substring(text, F.lit(1), at)), part(F.substring(text, at + 1, n))
 
 
-def chunk_numbers(spoken: Column, max_chars: int = MAX_CHARS, max_seconds: float = MAX_SECONDS) -> Column:
-    """The greedy fold over a video's sentences in order: one struct (ord, no, crosses) a sentence.
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `g`, their place from 0 on: sorted by ranges, staged, and counted on from what the ranges before hold."""
+    own = stage(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "timeline")
+    part = F.shiftright("_at", PLACE_BITS)
+    sizes, before, total = own.groupBy(part.alias("part")).count().collect(), {}, 0  # a row a range
+    for r in sorted(sizes, key=lambda r: r.part):
+        before[r.part], total = total, total + r["count"]
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(list(before.items()), "_part long, _before long"))
+    placed = own.withColumn("_part", part).join(offsets, "_part")
+    return placed.withColumn("g", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))).drop("_at", "_part", "_before")
+
 
-    spoken: array of structs (start, ord, end, text, first_scene, last_scene), sorted. A sentence within one scene opens a
-    new chunk if the scene changes, or if the open chunk would grow beyond `max_chars` or last more than `max_seconds` from its
-    start. A sentence across scenes closes the open chunk and stands alone.
+def next_starts(placed: DataFrame, max_chars: int, max_seconds: float, block_rows: int) -> DataFrame:
+    """block, vid_hash, g, next: where the chunk after one that opens at g would open, whether or not one opens there.
+
+    A chunk has no more sentences than characters, so each row sees all it needs among the `max_chars` that follow: a block takes so
+    many rows of the next one along.
+    """
+    own = F.floor(F.col("g") / block_rows)
+    early = (F.col("g") % block_rows <= max_chars) & (F.col("g") >= block_rows)
+    slim = placed.select("vid_hash", "g", "start", "first_scene", (F.col("first_scene") != F.col("last_scene")).alias("crosses"), F.char_length("text").cast("long").alias("n"), own.alias("own"))
+    rows = slim.withColumn("block", F.explode(F.when(early, F.array("own", F.col("own") - 1)).otherwise(F.array("own"))))
+    w = Window.partitionBy("block", "vid_hash")
+    on = w.orderBy("g")
+    rows = rows.withColumn("p", F.sum("n").over(on.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    changed = (F.lag("first_scene").over(on) != F.col("first_scene")) | F.col("crosses") | F.lag("crosses").over(on)
+    rows = rows.withColumn("_breaks", F.when(F.coalesce(changed, F.lit(False)), F.col("g")))
+    broken = F.min("_breaks").over(w.orderBy(F.desc("g")).rowsBetween(Window.unboundedPreceding, -1))
+    # The first row with which the chunk would be too long, or the one after the last that is there.
+    last = F.max(F.struct("g", (F.col("p") + F.col("n")).alias("upto"))).over(w.orderBy("p").rangeBetween(0, max_chars))
+    # Times are compared by their difference: rows near the limit are looked at one by one.
+    within = lambda what, lo, hi: F.expr(f"{what} OVER (PARTITION BY block, vid_hash ORDER BY start RANGE BETWEEN {lo} AND {hi!r}D FOLLOWING)")
+    sure = within("max(g)", "CURRENT ROW", max_seconds - EPSILON)
+    near = within("collect_list(struct(g, start))", f"{max_seconds - EPSILON!r}D FOLLOWING", max_seconds + EPSILON)
+    rows = rows.withColumns({"_broken": broken, "_last": last, "_sure": sure, "_near": near})
+    full = F.when(F.col("_last.upto") > F.col("p") + max_chars, F.col("_last.g")).otherwise(F.col("_last.g") + 1)
+    in_time = F.size(F.filter("_near", lambda x: (x["g"] > F.col("_sure")) & (x["start"] - F.col("start") <= max_seconds)))
+    late = F.greatest("_sure", "g") + 1 + in_time
+    then = F.least(F.greatest(full, F.col("g") + 1), F.greatest(late, F.col("g") + 1), F.coalesce("_broken", F.max("g").over(w) + 1))
+    return rows.withColumn("next", F.when(F.col("crosses"), F.col("g") + 1).otherwise(then)).filter("block = own").select("block", "vid_hash", "g", "next")
+
+
+def block_entries(blocks: DataFrame, max_chars: int) -> DataFrame:
+    """block, entry: the row of each block, from its first, at which the first chunk within it opens.
+
+    blocks: block, nexts (of each row, from the block's first). A block maps each row at which it may be entered to the row at
+    which the next one is. Most maps have one value, since a scene that ends in the block leads all ways together; the others are
+    composed by pointer doubling until a block is reached whose entry is known.
+    """
+    size = F.size("nexts")
+    # From the last row on: a row leads out of the block, or to a row whose way out is known.
+    step = lambda acc, x: F.concat(F.array(F.when(x["to"] >= size, x["to"] - size).otherwise(F.get(acc, x["to"] - x["at"] - 1))), acc)
+    back = F.reverse(F.transform("nexts", lambda to, at: F.struct(to.cast("int").alias("to"), at.alias("at"))))
+    ways = F.slice(F.aggregate(back, F.array().cast("array<int>"), step), 1, max_chars + 1)
+    told = blocks.select((F.col("block") + 1).alias("block"), F.col("block").alias("source"), ways.alias("ways"))
+    known = lambda m: F.when(F.array_min(m) == F.array_max(m), F.array_min(m))
+    told = blocks.select("block").join(told, "block", "left")
+    told = told.withColumn("entry", F.when(F.col("source").isNull(), F.lit(0)).otherwise(known(F.col("ways"))))
+    told = stage(told, "entries")
+    while not told.filter("entry IS NULL").isEmpty():
+        before = told.select(F.col("block").alias("source"), F.col("source").alias("further"), F.col("ways").alias("earlier"), F.col("entry").alias("known"))
+        both = told.join(before, "source", "left")
+        through = F.transform("earlier", lambda x: F.get(F.col("ways"), x))
+        unknown = F.col("entry").isNull()
+        told = stage(both.select(
+            "block", F.when(unknown, F.col("further")).otherwise(F.col("source")).alias("source"), F.when(unknown, through).otherwise(F.col("ways")).alias("ways"),
+            F.coalesce("entry", F.get("ways", F.col("known")), F.when(unknown, known(through))).alias("entry"),
+        ), "entries")
+    return told.select("block", "entry")
+
+
+def chunk_numbers(placed: DataFrame, max_chars: int = MAX_CHARS, max_seconds: float = MAX_SECONDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """placed with chunk_no and crosses: greedy chunks of each video's sentences in order.
+
+    placed: vid_hash, ord, start, end, text, first_scene, last_scene. A sentence within one scene opens a new chunk if the scene
+    changes, or if the open chunk would grow beyond `max_chars` or last more than `max_seconds` from its start. A sentence across
+    scenes closes the open chunk and stands alone.
+
+    The sentences of all videos are one timeline, cut into blocks of rows. Where the next chunk would open follows for each
+    row from the rows after it, so that a block knows where it would be left for each way into it; the ways are joined from block to
+    block, and only then is each block's own walked. A video of any length is spread over as many tasks as it has blocks.
     """
-    start = F.struct(
-        F.array().cast("array<struct<ord:bigint,no:int,crosses:boolean>>").alias("out"), F.lit(0).alias("no"), F.lit(0).alias("chars"),
-        F.lit(None).cast("double").alias("since"), F.lit(None).cast("int").alias("scene"),
-    )
-
-    def step(s: Column, x: Column) -> Column:
-        crosses = x["first_scene"] != x["last_scene"]
-        is_open = s["scene"].isNotNull()
-        n = F.char_length(x["text"])
-        full = (s["chars"] + n > max_chars) | (x["start"] - s["since"] > max_seconds)
-        fresh = ~is_open | (x["first_scene"] != s["scene"]) | full
-        no = F.when(crosses | fresh, s["no"] + 1).otherwise(s["no"]).cast("int")
-        return F.struct(
-            F.concat(s["out"], F.array(F.struct(x["ord"].cast("bigint").alias("ord"), no.alias("no"), crosses.alias("crosses")))).alias("out"), no.alias("no"),
-            F.when(crosses, 0).when(fresh, n).otherwise(s["chars"] + n).cast("int").alias("chars"),
-            F.when(crosses, F.lit(None)).when(fresh, x["start"]).otherwise(s["since"]).cast("double").alias("since"),
-            F.when(crosses, F.lit(None)).otherwise(x["first_scene"]).cast("int").alias("scene"),
-        )
-
-    return F.aggregate(spoken, start, step, lambda s: s["out"])
+    block_rows = max(block_rows, max_chars + 1)
+    own = in_order(placed, "vid_hash", "start", "ord")
+    ahead = stage(next_starts(own, max_chars, max_seconds, block_rows), "next-starts")
+    relative = F.transform(F.array_sort(F.collect_list(F.struct("g", "next"))), lambda x: (x["next"] - F.col("block") * block_rows).cast("int"))
+    blocks = stage(ahead.groupBy("block").agg(relative.alias("nexts")), "blocks")
+    entered = blocks.join(block_entries(blocks, max_chars), "block")
+    start = F.struct(F.col("entry").alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda s, i: F.when(i == s["at"], F.struct(F.get("nexts", i).alias("at"), F.concat(s["out"], F.array(i)).alias("out"))).otherwise(s)
+    opened = F.aggregate(F.sequence(F.lit(0), F.size("nexts") - 1), start, step, lambda s: s["out"])
+    starts = entered.select("block", F.explode(opened).alias("i")).select((F.col("block") * block_rows + F.col("i")).alias("g"))
+    starts = stage(ahead.join(starts, "g"), "starts")
+    # A video's chunks are counted by blocks first.
+    counts = starts.groupBy("vid_hash", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("vid_hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = starts.withColumn("_i", F.row_number().over(Window.partitionBy("vid_hash", "block").orderBy("g")))
+    numbered = numbered.join(counts.select("vid_hash", "block", before.alias("_before")), ["vid_hash", "block"])
+    members = numbered.select(F.explode(F.sequence("g", F.col("next") - 1)).alias("g"), (F.col("_before") + F.col("_i")).cast("int").alias("chunk_no"))
+    return own.join(members, "g").drop("g").withColumn("crosses", F.col("first_scene") != F.col("last_scene"))
 
 
 def chunks(spoken: DataFrame, scenes: DataFrame, keyframes: DataFrame | None = None, max_chars: int = MAX_CHARS, max_seconds: float = MAX_SECONDS) -> DataFrame:
@@ -95,12 +178,9 @@ def chunks(spoken: DataFrame, scenes: DataFrame, keyframes: DataFrame | None = N
     """
     own = spoken.withColumn("text", F.trim("text")).filter("text <> ''").join(scenes.select("vid_hash").distinct(), "vid_hash", "left_semi")
     key = ["vid_hash", "ord"]
-    placed = scene_at(own, scenes, F.col("start"), key, "first_scene")
-    placed = scene_at(placed, scenes, F.greatest(F.col("end") - EPSILON, F.col("start")), key, "last_scene")
-    fields = F.struct("start", "ord", "end", "text", "first_scene", "last_scene")
-    folded = placed.groupBy("vid_hash").agg(F.array_sort(F.collect_list(fields)).alias("all"))
-    told = folded.select("vid_hash", F.explode(F.arrays_zip("all", chunk_numbers(F.col("all"), max_chars, max_seconds).alias("no"))).alias("x"))
-    told = told.select("vid_hash", "x.all.*", F.col("x.no.no").alias("chunk_no"), F.col("x.no.crosses").alias("crosses"))
+    placed = scenes_at(own, scenes, {"first_scene": F.col("start"), "last_scene": F.greatest(F.col("end") - EPSILON, F.col("start"))}, key)
+    fields = ["vid_hash", "ord", "start", "end", "text", "first_scene", "last_scene"]
+    told = stage(chunk_numbers(placed.select(*fields), max_chars, max_seconds), "chunked")
 
     order = F.struct("start", "ord")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "ord", "text"))), lambda s: s["text"]), " ")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..functions.vectors import dot, l2_normalize
+from ..sources.staging import Passes, stage
+from . import impact
 
 RRF_K, TOP_K, QUERIES_PER_PASS = 60, 20, 1000
 SPACES = ("semantic", "visual", "keyword")
@@ -45,16 +47,23 @@ def dense_topk(points: DataFrame, queries: DataFrame, vector: str, k: int = TOP_
     """query_id, point_id, score, rank by cosine. points: point_id and vector columns; queries: query_id and vector.
 
     Queries are a stated set. They go to the points in blocks of at most QUERIES_PER_PASS rows, a broadcast each, and a
-    pass keeps k rows a query and task before anything is shuffled. A query never finds itself.
+    pass keeps k rows a query and task before anything is shuffled. Where there are several blocks, each is written before the
+    next is planned. A query never finds itself. `ann.ann_topk` looks at a part of the points only.
     """
     blocks = max(1, -(-queries.count() // (QUERIES_PER_PASS // 2)))
     own = points.select("point_id", l2_normalize(F.col(vector)).alias("v"))
-    out = []
-    for b in range(blocks):
+
+    def one(b: int) -> DataFrame:
         block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", l2_normalize(F.col(vector)).alias("q"))
         pairs = own.join(F.broadcast(block), F.col("point_id") != F.col("query_id"))
-        out.append(top(pairs.select("query_id", "point_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")), k))
-    return reduce(DataFrame.unionByName, out)
+        return top(pairs.select("query_id", "point_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")), k)
+
+    if blocks == 1:
+        return one(0)
+    passes = Passes(points.sparkSession, "dense")
+    for b in range(blocks):
+        passes.add(one(b))
+    return passes.rows()
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,29 +73,25 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sparse_topk(points: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """query_id, point_id, score, rank by the inner product of postings; points that share no term are not found."""
-    q = queries.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("qw"))
-    hits = points.select(F.col("id").alias("point_id"), "term", "weight").join(q, "term").filter("point_id <> query_id")
-    return top(hits.groupBy("query_id", "point_id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score")), k)
+    """query_id, point_id, score, rank by the inner product; points that share no term are not found, nor a query's own.
+
+    points: id, terms, weights (arrays, a term once a point), or shards of them as `impact.shards` makes; queries: postings. No
+    weight is negative.
+    """
+    own = points if "ids" in points.columns else stage(impact.shards(points), "shards")
+    found = impact.topk(own, queries, k)
+    return top(found.withColumn("score", F.round("score", impact.DIGITS)), k)
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, point_id, score, rank by BM25. docs: id, text; queries are postings, whose terms count once each.
 
-    A text's size comes from the scan, and only terms that some query holds leave it. Texts without terms are no documents.
+    Texts are cut into terms once; their postings are staged in shards, from which corpus figures and scores come. Texts without
+    terms are no documents.
     """
-    sized = docs.select("id", terms(F.col("text")).alias("own")).select("id", "own", F.size("own").cast("double").alias("size")).filter("size > 0")
-    corpus = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-    asked = queries.select(F.col("id").alias("query_id"), "term")
-    held = sized.select("id", "size", F.explode("own").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    own = held.groupBy("id", "size", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # One row of corpus figures.
-    weighted = own.join(df, "term").join(F.broadcast(corpus))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("weight") * (k1 + 1) / (F.col("weight") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    scored = weighted.select(F.col("id").alias("point_id"), "term", part.alias("part")).join(asked, "term")
-    return top(scored.groupBy("query_id", "point_id").agg(F.round(F.sum("part"), 6).alias("score")), k)
+    own = stage(impact.shards(docs.select("id", terms(F.col("text")).alias("terms"))), "shards")
+    found = impact.topk(own, queries.withColumn("weight", F.lit(1.0)), k, (k1, b), itself=True)
+    return top(found.withColumn("score", F.round("score", impact.DIGITS)), k)
 
 
 def rrf(rank: Column) -> Column:

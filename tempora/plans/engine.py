@@ -1,7 +1,7 @@
 """The engine: ingest, search, evaluate and tune over tables in one folder.
 
-points/ (append-only), commits/ (the manifest), nodes/, edges/, tracker/, queue/ and reports/ lie below the root. Searching
-is one lazy plan up to the selected context.
+points/ (append-only), postings/ (their terms in shards), codes/ and model/ (the dense index, once it is built), commits/ (the
+manifest), nodes/, edges/, tracker/, queue/ and reports/ lie below the root.
 """
 
 from __future__ import annotations
@@ -12,12 +12,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, evaluation, graph, models, search, selection
+from ..functions.text import terms
+from ..operators import ann, chunking, evaluation, graph, impact, models, search, selection
 from ..sources.sinks import append_jsonl
 from . import commits
 from .tracker import Tracker, not_done
 
 TOP_K = search.TOP_K
+#: What the dense index keeps of a point beside its code.
+INDEXED = ("point_id", "vid_hash", "attempt", "domain")
 PHASES = {0: (), 1: (0,), 2: (0, 1), 3: (), 4: ()}
 
 
@@ -85,6 +88,10 @@ class Engine:
         commits.write_points(rows, self.path("points"))
         # What follows reads what was written, so that nothing is encoded twice.
         own = self.points().filter(F.col("attempt") == number)
+        self.add_postings(own)
+        model = self.model()
+        if model is not None:
+            ann.append(ann.encode(own.select(*INDEXED, "text_dense"), "text_dense", model), self.path("codes"))
         if build_graph:
             known, edges = graph.build(own.withColumn("ord", F.col("chunk_no") * 3 + F.col("part")))
             ends = known.select(F.col("chunk_id").alias("src"), "vid_hash")
@@ -105,6 +112,49 @@ class Engine:
                     raise
         return found + 1
 
+    def add_postings(self, rows: DataFrame) -> None:
+        """Terms of points, in shards of one video each, so that a commit shows or hides them with the video's points."""
+        own = rows.select("domain", "vid_hash", "attempt", F.col("point_id").alias("id"), terms(F.col("text")).alias("terms"))
+        made = impact.shards(own.sort("domain", "vid_hash", "attempt", "id"), ("domain", "vid_hash", "attempt"))
+        made.write.mode("append").partitionBy("domain").parquet(self.path("postings"))
+
+    def model(self) -> ann.Model | None:
+        """The dense index's model; None where no index was built."""
+        try:
+            return ann.Model.load(self.spark, self.path("model"))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+
+    def build_index(self) -> ann.Model:
+        """Fit the dense index on a sample of what is visible and code all points; later ones are coded as they are published.
+
+        Building again replaces the codes first and then the model; until then a search may miss neighbours, but none are wrong.
+        """
+        model = ann.train(self.visible(), "text_dense")
+        codes = ann.encode(self.points().select(*INDEXED, "text_dense"), "text_dense", model)
+        codes.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(self.path("codes"))
+        model.save(self.spark, self.path("model"))
+        return model
+
+    def keyword_hits(self, own: DataFrame, conditions: dict[str, str], queries: DataFrame, k: int) -> DataFrame:
+        """Hits by terms. Where the conditions are on whole videos the stored postings answer; else the matching texts are cut into terms."""
+        asked = search.postings(queries, "query_id", "query")
+        if set(conditions) <= {"domain", "vid_hash"}:
+            return search.sparse_topk(search.matching(commits.visible(self.read("postings"), self.read("commits")), conditions), asked, k)
+        docs = own.select(F.col("point_id").alias("id"), terms(F.col("text")).alias("terms"))
+        return search.sparse_topk(docs, asked, k)
+
+    def semantic_hits(self, own: DataFrame, conditions: dict[str, str], asked: DataFrame, k: int, approximate: bool) -> DataFrame:
+        model = self.model() if approximate else None
+        if model is None:
+            return search.dense_topk(own, asked, "text_dense", k)
+        codes = commits.visible(self.read("codes"), self.read("commits"))
+        whole = set(conditions) <= {"domain", "vid_hash"}
+        codes = search.matching(codes, conditions) if whole else codes.join(own.select("point_id"), "point_id", "left_semi")
+        return ann.ann_topk(codes, model, own, asked, "text_dense", k)
+
     def points(self) -> DataFrame:
         # Points of earlier versions have no image_dense.
         return self.spark.read.option("mergeSchema", True).parquet(self.path("points"))
@@ -116,18 +166,17 @@ class Engine:
     def visible(self) -> DataFrame:
         return commits.visible(self.points(), self.read("commits"))
 
-    def search(self, queries: DataFrame, domain: str, filter_meta: str | None = None, k: int = search.TOP_K, flags: list[str] | None = None, use_graph: bool = False, hop_limit: object = 2) -> DataFrame:
+    def search(self, queries: DataFrame, domain: str, filter_meta: str | None = None, k: int = search.TOP_K, flags: list[str] | None = None, use_graph: bool = False, hop_limit: object = 2, approximate: bool = False) -> DataFrame:
         """Fused candidates of each query. queries: query_id, query, and image_dense where images are to be searched.
 
         A query's image vector is given, since it must lie in the space of the points' own; rows without one are not searched there.
+        `approximate` asks the dense index, where one was built.
         """
         alpha, beta = self.weights.get(domain, (search.DEFAULT_ALPHA, search.DEFAULT_BETA))
-        own = search.matching(self.visible(), search.parse_filter(filter_meta) | {"domain": domain})
+        conditions = search.parse_filter(filter_meta) | {"domain": domain}
+        own = search.matching(self.visible(), conditions)
         asked = models.encode(queries, "query", "text_dense")
-        spaces = {
-            "semantic": search.dense_topk(own, asked, "text_dense", k),
-            "keyword": search.sparse_topk(search.postings(own, "point_id", "text"), search.postings(queries, "query_id", "query"), k),
-        }
+        spaces = {"semantic": self.semantic_hits(own, conditions, asked, k, approximate), "keyword": self.keyword_hits(own, conditions, queries, k)}
         if "image_dense" in queries.columns and "image_dense" in own.columns:
             seen = F.col("image_dense").isNotNull()
             spaces["visual"] = search.dense_topk(own.filter(seen), queries.filter(seen), "image_dense", k)
@@ -170,12 +219,10 @@ class Engine:
 
     def components(self, queries: DataFrame, domain: str, k: int = TOP_K) -> DataFrame:
         """query_id, point_id, key, space, rrf of every searched space, retrieved once for all weights; the key is the keyframe."""
-        own = search.matching(self.visible(), {"domain": domain})
+        conditions = {"domain": domain}
+        own = search.matching(self.visible(), conditions)
         asked = models.encode(queries, "query", "text_dense")
-        spaces = {
-            "semantic": search.dense_topk(own, asked, "text_dense", k),
-            "keyword": search.sparse_topk(search.postings(own, "point_id", "text"), search.postings(queries, "query_id", "query"), k),
-        }
+        spaces = {"semantic": self.semantic_hits(own, conditions, asked, k, False), "keyword": self.keyword_hits(own, conditions, queries, k)}
         return search.ranked_spaces(spaces).join(own.select("point_id", F.col("keyframe_path").alias("key")), "point_id")
 
     def ground_truth(self, results: DataFrame, truth: DataFrame) -> DataFrame:

@@ -6,17 +6,15 @@ timelines are `conversations` and `events`; texts are `documents` and `benchmark
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import media, text, vectors
-from .operators import chunking, evaluation, graph, models, search, selection, signals
+from .operators import ann, chunking, evaluation, graph, models, search, selection, signals
 from .plans import commits, tracker
-from .sources import sinks
+from .sources import sinks, staging
 from .streaming import queues
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,12 +57,18 @@ def components(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.posexplode(vectors.doubles(F.col("embedding"))).alias("term", "weight")).filter(F.col("weight") > SPARSE_FLOOR)
 
 
+def vectors_of_components(rows: DataFrame) -> DataFrame:
+    """The same components as arrays: id, terms, weights."""
+    above = F.filter(F.transform(vectors.doubles(F.col("embedding")), lambda x, i: F.struct(i.alias("term"), x.alias("weight"))), lambda c: c["weight"] > SPARSE_FLOOR)
+    return rows.select(F.col("point_id").alias("id"), above.alias("c")).select("id", F.col("c.term").alias("terms"), F.col("c.weight").alias("weights"))
+
+
 def hits(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     p, q = points(spark, sf_dir), asked(spark, sf_dir)
     return {
         "semantic": search.dense_topk(p, q, "text_dense"),
         "visual": search.dense_topk(p, q, "image_dense"),
-        "keyword": search.sparse_topk(components(p, "point_id"), components(q, "query_id")),
+        "keyword": search.sparse_topk(vectors_of_components(p), components(q, "query_id")),
     }
 
 
@@ -140,6 +144,15 @@ def visual_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.dense_topk(points(spark, sf_dir), asked(spark, sf_dir), "image_dense")
 
 
+@query()
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index's answer to dense_topk: no SQL says the same, tests hold its recall against dense_topk."""
+    p = points(spark, sf_dir)
+    model = ann.train(p, "text_dense")
+    codes = staging.stage(ann.encode(p.select("point_id", "text_dense"), "text_dense", model), "codes")
+    return ann.ann_topk(codes, model, p, asked(spark, sf_dir), "text_dense")
+
+
 @query("""SELECT vec_id, array_to_string(list_transform(embedding[1:32], lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding[1:32], lambda y: y::DOUBLE * y::DOUBLE))), 4)::DECIMAL(9, 4)::VARCHAR), ',') AS unit FROM embeddings""")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.transform(vectors.l2_normalize(F.slice("embedding", 1, 32)), lambda x: F.round(x, 4).cast("decimal(9,4)").cast("string"))
@@ -148,7 +161,7 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SPARSE_SQL)
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.sparse_topk(components(points(spark, sf_dir), "point_id"), components(asked(spark, sf_dir), "query_id"))
+    return search.sparse_topk(vectors_of_components(points(spark, sf_dir)), components(asked(spark, sf_dir), "query_id"))
 
 
 @query("""WITH d AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
@@ -655,18 +668,10 @@ def tier2_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.tier2_counts(evaluation.tier2(evaluation.tier1(_scores(spark, sf_dir)), models.judge()))
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in local mode where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='tempora-')).rstrip('/')}/queue-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {_TRIAD_SQL} SELECT md5(q) AS query_md5, round(a, 4) AS score_relevance, round(b, 4) AS score_ground, round(c, 4) AS score_answer_relevance, {_VERDICT_SQL} AS verdict FROM s WHERE q IS NOT NULL")
 def eval_queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queue is logged twice and drained after each: the second run takes only what is new."""
-    top = _shared(spark)
+    top = staging.scratch(spark, "queue")
     rows = _asked_and_answered(spark, sf_dir).filter("query IS NOT NULL")
     for half in (0, 1):
         sinks.append_jsonl(rows.filter(F.col("conv_id") % 2 == half).select("query", "context", "answer"), f"{top}/queue")
