@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from ..functions.text import terms, token_recall
 
 
+#: How much of an exception's text is kept.
+ERROR_CHARS = 500
+
+
 class TextEncoder(Protocol):
     """Made once for a task; encodes a batch of texts to vectors of one length."""
 
@@ -37,16 +41,35 @@ class HashingEncoder:
         return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
 
 
-def encode(rows: DataFrame, text: str, into: str, make: Callable[[], TextEncoder] = HashingEncoder) -> DataFrame:
-    """rows with vectors; the encoder is made once for each task and takes whole Arrow batches."""
+def encode(rows: DataFrame, text: str, into: str, make: Callable[[], TextEncoder] = HashingEncoder, error: str | None = None) -> DataFrame:
+    """rows with vectors; the encoder is made once for each task and takes whole Arrow batches.
+
+    With `error`, a column of that name says why a text has no vector, and the vector is null there: a batch that fails is encoded
+    text by text. Without it the encoder's exception ends the job.
+    """
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("vector array<float>, error string")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = make()
-        for b in batches:
-            yield pd.Series(list(encoder(b.fillna("").tolist())))
 
-    return rows.withColumn(into, vectors(F.col(text)))
+        def one(value: str) -> tuple[list | None, str | None]:
+            try:
+                return list(encoder([value])[0]), None
+            except Exception as e:  # noqa: BLE001
+                return None, f"{type(e).__name__}: {e}"[:ERROR_CHARS]
+
+        for b in batches:
+            values = b.fillna("").tolist()
+            try:
+                told = [(v, None) for v in encoder(values)]
+            except Exception:  # noqa: BLE001
+                if error is None:
+                    raise
+                told = [one(v) for v in values]
+            yield pd.DataFrame({"vector": [v for v, _ in told], "error": [e for _, e in told]})
+
+    out = rows.withColumn("_encoded", vectors(F.col(text))).withColumn(into, F.col("_encoded.vector"))
+    return (out if error is None else out.withColumn(error, F.col("_encoded.error"))).drop("_encoded")
 
 
 def sparse_terms(text: Column) -> Column:

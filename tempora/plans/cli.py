@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     ops.add_argument("--meta_path", help="metadata file whose domain counts where --domain is not given")
     ops.add_argument("--domain")
     ops.add_argument("--build_graph", action="store_true")
+    ops.add_argument("--build_index", action="store_true", help="fit the dense index on what is committed and code all points")
     ops.add_argument("--settings_path", help="settings file on the driver with the domains' weights")
     s = p.add_argument_group("search")
     s.add_argument("--query")
@@ -44,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("-qa", "--question_answer", action="store_true", help="ask again with the best text as the query")
     s.add_argument("-t", "--top_k", type=int, default=20)
     s.add_argument("-f", "--filter_meta")
+    s.add_argument("--approximate", action="store_true", help="search the dense index, where one was built, instead of all points")
     s.add_argument("--use_graph", action="store_true")
     s.add_argument("--hop_limit", default="2")
     s.add_argument("-rr", "--rerank", action="store_true")
@@ -100,7 +102,7 @@ def _search(engine: Engine, a: argparse.Namespace) -> None:
     spark = engine.spark
     domain = resolve_domain(spark, a.domain, a.meta_path)
     q = spark.createDataFrame([("q", a.query)], "query_id string, query string")
-    look = lambda asked: engine.search(asked, domain, a.filter_meta, a.top_k, use_graph=a.use_graph, hop_limit=a.hop_limit)
+    look = lambda asked: engine.search(asked, domain, a.filter_meta, a.top_k, use_graph=a.use_graph, hop_limit=a.hop_limit, approximate=a.approximate)
     # One query, its answer or at most top_k rows: kept as they are, or each use would plan and run the search again.
     held = lambda rows: spark.createDataFrame(rows.collect(), rows.schema)
     found = look(q)
@@ -113,23 +115,21 @@ def _search(engine: Engine, a: argparse.Namespace) -> None:
         shown = best.withColumn("score", F.coalesce("rerank_score", "s_total") if "rerank_score" in best.columns else F.col("s_total"))
         return _show(shown.orderBy("final_rank").select("chunk_id", "text", "keyframe_path", "score", "place"), engine, "search", a)
     answer = held(engine.answer(best, a.max_context_images))
-    if a.trake_mode:
-        answer = held(answer.join(engine.provenance(best, answer), "query_id", "left"))
+    traced = held(answer.join(engine.provenance(best, answer), "query_id", "left"))
+    answer = traced if a.trake_mode else answer
     told = F.array_join(F.collect_list("text"), "\n").alias("context")
-    engine.log(answer.join(q, "query_id").join(best.groupBy("query_id").agg(told), "query_id"))
+    shown = traced.withColumn("keyframes", F.transform("trake", lambda t: t["keyframe_path"]))
+    engine.log(shown.join(q, "query_id").join(best.groupBy("query_id").agg(told), "query_id"))
     return _show(answer, engine, "answer", a)
 
 
 def _evaluate(engine: Engine, a: argparse.Namespace) -> None:
     spark = engine.spark
-    first, second = engine.evaluate(readers.eval_queue(spark, engine.path("queue")), a.eval_sample_rate, a.deep_eval_threshold_low, a.deep_eval_threshold_high)
-    sinks.route_verdicts(first, engine.path("reports/tier1"), engine.path("deep_queue"))
-    sinks.append_jsonl(second, engine.path("reports/tier2"))
+    first, second = engine.evaluate_queue(a.eval_sample_rate, a.deep_eval_threshold_low, a.deep_eval_threshold_high)
     _show(evaluation.verdict_counts(first), engine, "tier1", a)
     _show(evaluation.tier2_counts(second), engine, "tier2", a)
     if a.ground_truth_path:
-        results = readers.eval_queue(spark, engine.path("queue")).withColumn("keyframes", F.array().cast("array<string>"))
-        _show(engine.ground_truth(results, readers.ground_truth(spark, a.ground_truth_path)), engine, "ground-truth", a)
+        _show(engine.ground_truth(readers.logged(spark, engine.path("queue")), readers.ground_truth(spark, a.ground_truth_path)), engine, "ground-truth", a)
 
 
 def _tune(engine: Engine, a: argparse.Namespace) -> None:
@@ -160,6 +160,9 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps({"rolled_back": engine.tracker.resume(a.resume_phase)}))
     if ingesting:
         _ingest(engine, ingesting, a)
+    if a.build_index:
+        model = engine.build_index()
+        print(json.dumps({"cells": len(model.cells), "probes": model.probes}))
     if a.tune_weights:
         _tune(engine, a)
     if 3 in phases:

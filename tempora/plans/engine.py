@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..operators import ann, chunking, evaluation, graph, impact, models, search, selection
+from ..sources import readers
 from ..sources.sinks import append_jsonl
+from ..sources.staging import stage
+from ..streaming import queues
 from . import commits
 from .tracker import Tracker, not_done
 
 TOP_K = search.TOP_K
+#: Columns of the evaluation reports.
+TIER1 = f"{readers.LOGGED}, {queues.JUDGED}"
+TIER2 = f"{TIER1}, tier2_score int, tier2_verdict string"
 #: What the dense index keeps of a point beside its code.
 INDEXED = ("point_id", "vid_hash", "attempt", "domain")
 PHASES = {0: (), 1: (0,), 2: (0, 1), 3: (), 4: ()}
@@ -50,14 +56,14 @@ class Engine:
     def tracker(self) -> Tracker:
         return Tracker(self.spark, self.path("tracker"))
 
-    def ingest(self, spoken: DataFrame, scenes: DataFrame, keyframes: DataFrame, meta: DataFrame, attempt: int | None = None, build_graph: bool = True, images: DataFrame | None = None, image_encoder=None) -> DataFrame:
+    def ingest(self, spoken: DataFrame, scenes: DataFrame, keyframes: DataFrame, meta: DataFrame, attempt: int | None = None, build_graph: bool = True, images: DataFrame | None = None, image_encoder=None, text_encoder=models.HashingEncoder) -> DataFrame:
         """Chunk, encode and publish the videos of `spoken`; returns the number of visible points of each.
 
         Videos that the tracker has as committed are left out unless an attempt is named. A video without any chunk is marked as failed
         and does not hold up the others. images: vid_hash, keyframe_path, image_dense, a row a keyframe; without them an image_encoder
         (see `models`) makes them; a chunk without one has no image vector. One caller ingests at a time.
         """
-        return self.publish(self.chunk(spoken, scenes, keyframes, attempt is not None), meta, attempt, build_graph, images, image_encoder)
+        return self.publish(self.chunk(spoken, scenes, keyframes, attempt is not None), meta, attempt, build_graph, images, image_encoder, text_encoder)
 
     def chunk(self, spoken: DataFrame, scenes: DataFrame, keyframes: DataFrame, again: bool = False) -> DataFrame:
         """Phases 0 and 1: find out what is left to do, and chunk it."""
@@ -72,19 +78,36 @@ class Engine:
         self.tracker.mark_all(not_done(videos, made, "vid_hash"), 1, "failed", "no chunks")
         return chunks
 
-    def publish(self, chunks: DataFrame, meta: DataFrame, attempt: int | None = None, build_graph: bool = True, images: DataFrame | None = None, image_encoder=None) -> DataFrame:
-        """Phase 2: points and graph of the chunks are appended under a new attempt, then committed at once."""
-        videos = chunks.select("vid_hash").distinct()
-        self.tracker.mark_all(videos, 2, "processing")
-        rows = commits.payload(chunks, meta)
+    def publish(self, chunks: DataFrame, meta: DataFrame, attempt: int | None = None, build_graph: bool = True, images: DataFrame | None = None, image_encoder=None, text_encoder=models.HashingEncoder) -> DataFrame:
+        """Phase 2: points and graph of the chunks are appended under a new attempt, then committed at once.
+
+        A video of which an encoder fails on a text or an image is marked as failed with the reason, and its chunks that failed go
+        to dead_letters/; the other videos are committed. The next ingestion tries failed videos again.
+        """
+        self.tracker.mark_all(chunks.select("vid_hash").distinct(), 2, "processing")
+        rows = commits.payload(chunks, meta).withColumn("_image_error", F.lit(None).cast("string"))
         if images is None and image_encoder is not None:
-            images = models.encode(chunking.with_keyframe(rows).select("vid_hash", "keyframe_path").distinct(), "keyframe_path", "image_dense", image_encoder)
+            images = models.encode(chunking.with_keyframe(rows).select("vid_hash", "keyframe_path").distinct(), "keyframe_path", "image_dense", image_encoder, "_image_error")
         if images is None:
             rows = rows.withColumn("image_dense", F.lit(None).cast("array<float>"))
         else:
-            rows = rows.join(images.select("vid_hash", "keyframe_path", F.col("image_dense").cast("array<float>").alias("image_dense")), ["vid_hash", "keyframe_path"], "left")
+            failed = F.col("_image_error") if "_image_error" in images.columns else F.lit(None).cast("string").alias("_image_error")
+            own = images.select("vid_hash", "keyframe_path", F.col("image_dense").cast("array<float>").alias("image_dense"), failed)
+            rows = rows.drop("_image_error").join(own, ["vid_hash", "keyframe_path"], "left")
         number = self.next_attempt() if attempt is None else max(attempt, self.next_attempt())
-        rows = commits.point_id(models.encode(rows, "text", "text_dense")).withColumn("attempt", F.lit(number))
+        rows = commits.point_id(models.encode(rows, "text", "text_dense", text_encoder, "_text_error")).withColumn("attempt", F.lit(number))
+        rows = stage(rows.withColumn("_error", F.coalesce("_text_error", "_image_error")).drop("_text_error", "_image_error"), "encoded")
+        lost = rows.filter("_error IS NOT NULL")
+        failed = lost.groupBy("vid_hash").agg(F.min_by("_error", F.struct("start", "chunk_id")).alias("error_message"))
+        if not failed.isEmpty():
+            letters = lost.select("vid_hash", "chunk_id", "attempt", "text", "keyframe_path", F.col("_error").alias("error"), F.current_timestamp().alias("failed_at"))
+            letters.write.mode("append").parquet(self.path("dead_letters"))
+            self.tracker.mark_all(failed, 2, "failed")
+            rows = rows.join(failed.select("vid_hash"), "vid_hash", "left_anti")
+        rows = rows.drop("_error")
+        videos = rows.select("vid_hash").distinct()
+        if videos.isEmpty():
+            return self.spark.createDataFrame([], "vid_hash string, n_points long")
         commits.write_points(rows, self.path("points"))
         # What follows reads what was written, so that nothing is encoded twice.
         own = self.points().filter(F.col("attempt") == number)
@@ -229,8 +252,28 @@ class Engine:
         return evaluation.ground_truth_metrics(results, truth)
 
     def log(self, rows: DataFrame) -> None:
-        """Queue query, context and answer for evaluation."""
-        append_jsonl(rows.select("query", "context", "answer"), self.path("queue"))
+        """Queue query, context and answer for evaluation, and the keyframes where rows have them."""
+        append_jsonl(rows.select("query", "context", "answer", *(["keyframes"] if "keyframes" in rows.columns else [])), self.path("queue"))
+
+    def evaluate_queue(self, rate: float = 0.1, low: float = evaluation.LOW, high: float = evaluation.HIGH) -> tuple[DataFrame, DataFrame]:
+        """Judge what is new in the queue, then what is new in the deep queue; the rows of this run of either report.
+
+        Both queues are streams with checkpoints of their own below the root, so that no run takes a row twice.
+        """
+        at = self.path
+        if not self.has("queue"):
+            return self._batches("reports/tier1", TIER1, []), self._batches("reports/tier2", TIER2, [])
+        first = queues.judge_queue(self.spark, at("queue"), at("reports/tier1"), at("deep_queue"), at("checkpoints/queue"), rate, low, high)
+        second = queues.drain_deep_queue(self.spark, at("deep_queue"), at("reports/tier2"), at("checkpoints/deep_queue")) if first or self.has("deep_queue") else []
+        return self._batches("reports/tier1", TIER1, first), self._batches("reports/tier2", TIER2, second)
+
+    def _batches(self, name: str, schema: str, numbers: list[int]) -> DataFrame:
+        paths = [f"{self.path(name)}/batch={n}" for n in numbers]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def has(self, name: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
     def evaluate(self, rows: DataFrame, rate: float = 0.1, low: float = evaluation.LOW, high: float = evaluation.HIGH) -> tuple[DataFrame, DataFrame]:
         """Judged rows of an exact sample: all with their verdict, and the borderline ones with the judge's."""

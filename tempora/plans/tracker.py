@@ -56,8 +56,9 @@ class Tracker:
         row.withColumn("updated_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self.path)
 
     def mark_all(self, videos: DataFrame, phase: int, status: str, error: str | None = None) -> None:
-        """The same state for every row of videos (vid_hash), in one write."""
-        told = videos.select("vid_hash", F.lit(phase).alias("phase"), F.lit(status).alias("status"), F.lit(error).cast("string").alias("error_message"), F.current_timestamp().alias("updated_at"))
+        """The same state for every row of videos (vid_hash), in one write; error_message where videos have it, else `error`."""
+        why = F.col("error_message") if "error_message" in videos.columns else F.lit(error).cast("string")
+        told = videos.select("vid_hash", F.lit(phase).alias("phase"), F.lit(status).alias("status"), why.alias("error_message"), F.current_timestamp().alias("updated_at"))
         told = told.withColumns({"temp_workspace_path": F.lit(None).cast("string"), "source_video_path": F.lit(None).cast("string")})
         told.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("append").parquet(self.path)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import media, text, vectors
 from .operators import ann, chunking, evaluation, graph, models, search, selection, signals
 from .plans import commits, tracker
+from .plans.engine import Engine
 from .sources import sinks, staging
 from .streaming import queues
 
@@ -679,6 +680,35 @@ def eval_queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{top}/report").select(F.md5("query").alias("query_md5"), "score_relevance", "score_ground", "score_answer_relevance", "verdict")
 
 
+_DEEP_SQL = f"WITH {_TRIAD_SQL}, d AS (SELECT q, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c FROM s WHERE q IS NOT NULL AND {_VERDICT_SQL} = 'deep_queue')"
+
+
+def _evaluated(spark: SparkSession, sf_dir: str, times: int) -> Engine:
+    engine = Engine(spark, staging.scratch(spark, "evaluated"))
+    engine.log(_asked_and_answered(spark, sf_dir).filter("query IS NOT NULL"))
+    for _ in range(times):
+        engine.evaluate_queue(1.0)
+    return engine
+
+
+@query(f"{_DEEP_SQL} SELECT md5(q) AS query_md5, {_JUDGE_SQL}::INT AS tier2_score, CASE WHEN {_JUDGE_SQL} >= 4 THEN 'pass' ELSE 'fail' END AS tier2_verdict FROM d")
+def deep_queue_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the judge says of the rows that the first tier passed on."""
+    rows = _evaluated(spark, sf_dir, 1).read("reports/tier2")
+    return rows.select(F.md5("query").alias("query_md5"), "tier2_score", "tier2_verdict")
+
+
+@query(f"""{_DEEP_SQL} SELECT 'reports/tier1' AS name, count(*) AS n_rows FROM s WHERE q IS NOT NULL
+UNION ALL SELECT 'deep_queue', count(*) FROM d UNION ALL SELECT 'reports/tier2', count(*) FROM d""")
+def evaluate_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of both reports and of the deep queue after a second run over the same queue: as many as after one."""
+    engine = _evaluated(spark, sf_dir, 2)
+    count = lambda rows, name: rows.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"))
+    deep = spark.read.schema("query string").json(engine.path("deep_queue"))
+    both = count(engine.read("reports/tier1"), "reports/tier1").unionByName(count(engine.read("reports/tier2"), "reports/tier2"))
+    return both.unionByName(count(deep, "deep_queue"))
+
+
 # Names, thresholds, committed points -----------------------------------------------------------------------------------
 
 

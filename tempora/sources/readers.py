@@ -16,6 +16,8 @@ SENTENCE = "array<struct<text:string,start:double,end:double>>"
 TRANSCRIPT = f"language string, language_probability double, duration double, full_text string, segments array<struct<id:int,start:double,end:double,text:string,avg_logprob:double,no_speech_prob:double,sentences:{SENTENCE}>>"
 META = "domain string, title string, source_url string, category string, extra map<string,string>"
 EVAL = "query string, context string, answer string"
+#: What is logged for each answer: the keyframes it rests on, in order of value, as well.
+LOGGED = f"{EVAL}, keyframes array<string>"
 TRUTH = "query string, expected_keyframe string, expected_answer string"
 CHUNK = "chunk_id string, parent_chunk_id string, is_cross_scene_subchunk boolean, scene_index int, text string, start double, end double, keyframe_path string, sentence_count int, weight int"
 
@@ -77,6 +79,12 @@ def eval_queue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVAL).json(path).filter("query IS NOT NULL OR context IS NOT NULL OR answer IS NOT NULL")
 
 
+def logged(spark: SparkSession, path: str) -> DataFrame:
+    """All answers ever logged, with their keyframes; those logged without any have an empty list."""
+    rows = spark.read.schema(LOGGED).json(path).filter("query IS NOT NULL OR context IS NOT NULL OR answer IS NOT NULL")
+    return rows.withColumn("keyframes", F.coalesce("keyframes", F.array().cast("array<string>")))
+
+
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """key, ord and the fields of each entry, in the file's order."""
     text = spark.read.option("wholetext", True).text(path)

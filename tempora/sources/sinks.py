@@ -25,7 +25,11 @@ def write_csv(rows: DataFrame, path: str) -> None:
     csv_columns(rows).write.mode("overwrite").option("header", True).csv(path)
 
 
-def route_verdicts(rows: DataFrame, report: str, deep: str) -> None:
-    """Borderline rows go to the deep queue, all others to the report."""
-    rows.filter("verdict <> 'deep_queue'").write.mode("append").json(report)
-    rows.filter("verdict = 'deep_queue'").write.mode("append").json(deep)
+def route_verdicts(rows: DataFrame, report: str, deep: str, batch: int) -> None:
+    """Rows with their verdict as one batch of the report, and from there the borderline ones as one of the deep queue.
+
+    The rows are evaluated once; a batch that is run again replaces its own part of both.
+    """
+    rows.write.mode("overwrite").parquet(f"{report}/batch={batch}")
+    told = rows.sparkSession.read.schema(rows.schema).parquet(f"{report}/batch={batch}")
+    told.filter("verdict = 'deep_queue'").write.mode("overwrite").json(f"{deep}/batch={batch}")

@@ -11,8 +11,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import evaluation, models
 from ..plans import tracker
-from ..sources.readers import EVAL
+from ..sources import sinks
+from ..sources.readers import EVAL, LOGGED
 
+JUDGED = "score_relevance double, score_ground double, score_answer_relevance double, verdict string"
 CLOSED = "vid_hash string, text string, start double, end double, sentence_count int"
 
 
@@ -31,6 +33,35 @@ def evaluate_queue(spark: SparkSession, queue: str, report: str, checkpoint: str
     drain(spark.readStream.schema(EVAL).json(queue), each, checkpoint)
 
 
+def judge_queue(spark: SparkSession, queue: str, report: str, deep: str, checkpoint: str, rate: float = 0.1, low: float = evaluation.LOW, high: float = evaluation.HIGH) -> list[int]:
+    """Judge an exact sample of the queue's new rows and pass the borderline ones on; the numbers of the batches that were new.
+
+    A row is taken once: a second run finds nothing to do.
+    """
+    done = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        told = batch.filter("query IS NOT NULL OR context IS NOT NULL OR answer IS NOT NULL").withColumn("_id", F.md5(F.concat_ws("|", "query", "answer")))
+        sample = evaluation.exact_sample(told, "_id", rate).drop("_id")
+        sinks.route_verdicts(evaluation.tier1(models.triad(sample), low, high), report, deep, number)
+        done.append(number)
+
+    drain(spark.readStream.schema(LOGGED).json(queue), each, checkpoint)
+    return done
+
+
+def drain_deep_queue(spark: SparkSession, deep: str, report: str, checkpoint: str) -> list[int]:
+    """Have the judge score what is new in the deep queue; the numbers of the batches that were new."""
+    done = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        evaluation.tier2(batch.drop("batch"), models.judge()).write.mode("overwrite").parquet(f"{report}/batch={number}")
+        done.append(number)
+
+    drain(spark.readStream.schema(f"{LOGGED}, {JUDGED}").json(deep), each, checkpoint)
+    return done
+
+
 def ingest_new(spark: SparkSession, folder: str, schema: str, done: Callable[[], DataFrame], key: str, each: Callable[[DataFrame, int], None], checkpoint: str, files: int = 1000) -> None:
     """New files of the folder, without keys that are done already."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
