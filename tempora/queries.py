@@ -680,14 +680,14 @@ def eval_queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{top}/report").select(F.md5("query").alias("query_md5"), "score_relevance", "score_ground", "score_answer_relevance", "verdict")
 
 
-_DEEP_SQL = f"WITH {_TRIAD_SQL}, d AS (SELECT q, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c FROM s WHERE q IS NOT NULL AND {_VERDICT_SQL} = 'deep_queue')"
+_DEEP_SQL = f"WITH {_TRIAD_SQL}, d AS (SELECT q, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c FROM s WHERE q IS NOT NULL AND NOT (least(a, b) > 0.7 AND c > 0.7))"
 
 
 def _evaluated(spark: SparkSession, sf_dir: str, times: int) -> Engine:
     engine = Engine(spark, staging.scratch(spark, "evaluated"))
     engine.log(_asked_and_answered(spark, sf_dir).filter("query IS NOT NULL"))
     for _ in range(times):
-        engine.evaluate_queue(1.0)
+        engine.evaluate_queue(1.0, low=0.0)  # whatever does not pass is borderline: few of these rows lie between the usual thresholds
     return engine
 
 
