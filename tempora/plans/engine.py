@@ -116,7 +116,7 @@ class Engine:
         if model is not None:
             ann.append(ann.encode(own.select(*INDEXED, "text_dense"), "text_dense", model), self.path("codes"))
         if build_graph:
-            known, edges = graph.build(own.withColumn("ord", F.col("chunk_no") * 3 + F.col("part")))
+            known, edges = graph.build_compact(own.withColumn("ord", F.col("chunk_no") * 3 + F.col("part")))
             ends = known.select(F.col("chunk_id").alias("src"), "vid_hash")
             known.withColumn("attempt", F.lit(number)).write.mode("append").parquet(self.path("nodes"))
             edges.join(ends, "src").withColumn("attempt", F.lit(number)).write.mode("append").parquet(self.path("edges"))
@@ -184,7 +184,9 @@ class Engine:
 
     def graph(self, name: str) -> DataFrame:
         """Nodes or edges of each video's last commit; a video's graph is appended with its points, others stay as they are."""
-        return commits.visible(self.read(name), self.read("commits")).drop("attempt", "commit_status")
+        # Nodes of earlier versions have no ord; their edges within scenes are stored.
+        rows = self.spark.read.option("mergeSchema", True).parquet(self.path(name))
+        return commits.visible(rows, self.read("commits")).drop("attempt", "commit_status")
 
     def visible(self) -> DataFrame:
         return commits.visible(self.points(), self.read("commits"))

@@ -242,7 +242,8 @@ def cross_scene_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EDGES_SQL} SELECT type, count(*) AS n_edges FROM edges GROUP BY type")
 def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edge_counts(graph.build(talk(spark, sf_dir))[1])
+    rows = talk(spark, sf_dir)
+    return graph.edge_counts(graph.build_compact(rows)[1]).unionByName(graph.scene_edge_count(rows))
 
 
 @query(f"WITH {_EDGES_SQL} SELECT DISTINCT src, dst, type, gap_sec, parent_chunk_id FROM edges")
@@ -260,7 +261,7 @@ def hop_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EDGES_SQL}, {_SEEDS_SQL} SELECT DISTINCT src AS seed, dst AS chunk_id FROM edges WHERE type = 'SAME_SCENE' AND src IN (FROM seeds)")
 def hop_spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.hop_once(graph.same_scene_edges(talk(spark, sf_dir)), _seeds(spark, sf_dir), "SAME_SCENE")
+    return graph.hop_scene(talk(spark, sf_dir), _seeds(spark, sf_dir))
 
 
 @query(f"WITH {_EDGES_SQL}, {_SEEDS_SQL} SELECT DISTINCT src AS seed, dst AS chunk_id FROM edges WHERE type = 'CROSS_SCENE_PAIR' AND src IN (FROM seeds)")
@@ -274,14 +275,15 @@ around AS (SELECT DISTINCT dst AS chunk_id FROM (FROM one UNION ALL SELECT dst F
 
 @query(f"{_EXPAND_SQL} SELECT chunk_id FROM around")
 def expand_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.expand(graph.build(talk(spark, sf_dir))[1], _seeds(spark, sf_dir), 2)
+    rows = talk(spark, sf_dir)
+    return graph.expand(graph.build_compact(rows)[1], _seeds(spark, sf_dir), 2, members=rows)
 
 
 @query(f"""{_EXPAND_SQL} SELECT chunk_id, text, keyframe_path, length(text)::DOUBLE AS s_total FROM talk WHERE chunk_id IN (FROM seeds)
 UNION ALL SELECT chunk_id, text, keyframe_path, 0.0::DOUBLE FROM talk WHERE chunk_id IN (FROM around)""")
 def graph_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = talk(spark, sf_dir)
-    known, edges = graph.build(rows)
+    known, edges = graph.build_compact(rows)
     found = rows.filter("ord = 1").select("chunk_id", "text", "keyframe_path", F.char_length("text").cast("double").alias("s_total"))
     return graph.with_neighbours(found, edges, known, 2).select("chunk_id", "text", "keyframe_path", "s_total")
 

@@ -243,3 +243,25 @@ def test_time_limits_are_differences(spark):
     rows = [("v", 0, 5.1, 6.0, "a", 0, 0), ("v", 1, 20.1, 21.0, "b", 0, 0), ("w", 0, 5.0, 6.0, "a", 0, 0), ("w", 1, 20.0, 21.0, "b", 0, 0)]
     got = chunking.chunk_numbers(spark.createDataFrame(rows, PLACED))
     assert sorted((r.vid_hash, r.ord, r.chunk_no) for r in got.collect()) == loop(rows, 400, 15.0) == [("v", 0, 1), ("v", 1, 2), ("w", 0, 1), ("w", 1, 1)]
+
+
+# Graph ------------------------------------------------------------------------------------------------------------------
+
+
+def test_scenes_as_members_give_the_edges_between_their_chunks(spark):
+    from tempora.operators import graph
+
+    rng = random.Random(8)
+    rows = [(f"c{i}", f"v{i % 3}", float(i), float(i) + 1, rng.choice([-1, 0, 1, 2]), rng.randrange(12), None, "t", f"k{i}", "d") for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, vid_hash string, start double, end double, scene_index int, ord int, parent_chunk_id string, text string, keyframe_path string, domain string")
+    edges = graph.same_scene_edges(chunks)
+    known, compact = graph.build_compact(chunks)
+    seeds = chunks.filter("ord < 6")
+    for both in (False, True):
+        want = sorted(map(tuple, graph.hop_once(edges, seeds, "SAME_SCENE", both).collect()))
+        assert sorted(map(tuple, graph.hop_scene(known, seeds, both).collect())) == want and want
+    assert graph.scene_edge_count(known).first().n_edges == edges.count()
+    full = graph.build(chunks)[1]
+    a = graph.expand(full, seeds.limit(3), 2)
+    assert sorted(map(tuple, graph.expand(compact, seeds.limit(3), 2, members=known).collect())) == sorted(map(tuple, a.collect()))
+    assert compact.count() < 60 and graph.scene_edge_count(known.limit(0)).count() == 0
