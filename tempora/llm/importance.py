@@ -34,8 +34,12 @@ def features(own: Column, n: int = GRAM) -> Column:
     """All runs of 1 to n consecutive words, joined by one space, repeats included."""
     if n == 1:
         return own
-    runs = [F.transform(F.sequence(F.lit(1), F.size(own) - k + 1), lambda i, k=k: F.array_join(F.slice(own, i, F.lit(k)), " ")) for k in range(1, n + 1)]
-    return F.concat(*[F.when(F.size(own) >= k, r).otherwise(F.array().cast("array<string>")) for k, r in enumerate(runs, 1)])
+
+    def runs(k: int) -> Column:
+        all_of_k = F.transform(F.sequence(F.lit(1), F.size(own) - k + 1), lambda i: F.array_join(F.slice(own, i, F.lit(k)), " "))
+        return F.when(F.size(own) >= k, all_of_k).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[runs(k) for k in range(1, n + 1)])
 
 
 def bucket(feature: Column, buckets: int = BUCKETS) -> Column:
