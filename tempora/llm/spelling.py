@@ -190,7 +190,8 @@ def _intersect(held):
                         if best[i] is None or (-n, w) < (-best[i][0], best[i][1]):
                             best[i] = (n, w)
                 at = [i for i, x in enumerate(best) if x]
-                yield pd.DataFrame({"word": [own[i] for i in at], "n_near": near[at], "best_n": [best[i][0] for i in at], "best": [best[i][1] for i in at]})
+                if at:
+                    yield pd.DataFrame({"word": [own[i] for i in at], "n_near": near[at], "best_n": [best[i][0] for i in at], "best": [best[i][1] for i in at]})
 
     return run
 
