@@ -6,7 +6,10 @@ Nothing is rewritten, so a lost writer leaves rows that no one sees and that `pu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -44,6 +47,31 @@ def committed_counts(points: DataFrame, manifest: DataFrame) -> DataFrame:
     return visible(points, manifest).groupBy("vid_hash").agg(F.count(F.lit(1)).alias("n_points"))
 
 
+def claim(spark: SparkSession, folder: str, number: int) -> int:
+    """The first number from `number` on that no other writer has, and it is this caller's from now on.
+
+    A number is a file that is created only where there is none, in one step: by the file system, or on a local disk, where Hadoop looks
+    first and creates afterwards, by the operating system.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(top)
+    local = top.toUri().getPath() if files.getUri().getScheme() == "file" else None
+    while True:
+        try:
+            if local:
+                os.close(os.open(f"{local}/{number:012d}", os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            else:
+                files.create(spark._jvm.org.apache.hadoop.fs.Path(top, f"{number:012d}"), False).close()
+            return number
+        except FileExistsError:
+            number += 1
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            number += 1
+
+
 def write_points(points: DataFrame, path: str) -> None:
     points.write.mode("append").partitionBy("domain").parquet(path)
 

@@ -94,7 +94,7 @@ class Engine:
             failed = F.col("_image_error") if "_image_error" in images.columns else F.lit(None).cast("string").alias("_image_error")
             own = images.select("vid_hash", "keyframe_path", F.col("image_dense").cast("array<float>").alias("image_dense"), failed)
             rows = rows.drop("_image_error").join(own, ["vid_hash", "keyframe_path"], "left")
-        number = self.next_attempt() if attempt is None else max(attempt, self.next_attempt())
+        number = commits.claim(self.spark, self.path("attempts"), max(attempt or 0, self.next_attempt()))
         rows = commits.point_id(models.encode(rows, "text", "text_dense", text_encoder, "_text_error")).withColumn("attempt", F.lit(number))
         rows = stage(rows.withColumn("_error", F.coalesce("_text_error", "_image_error")).drop("_text_error", "_image_error"), "encoded")
         lost = rows.filter("_error IS NOT NULL")
@@ -125,7 +125,10 @@ class Engine:
         return commits.committed_counts(self.points(), self.read("commits"))
 
     def next_attempt(self) -> int:
-        """Above every attempt that has left points or a commit, so that what a lost writer left is never seen."""
+        """Above every attempt that has left points or a commit, so that what a lost writer left is never seen.
+
+        Several writers may be told the same number; `commits.claim` gives it to one of them.
+        """
         found = 0
         for name in ("points", "commits"):
             try:

@@ -103,3 +103,26 @@ def test_a_keyframe_that_an_encoder_refuses_fails_its_video(spark, tmp_path):
     assert engine.visible().select("vid_hash").distinct().collect()[0].vid_hash == "v0"
     assert engine.visible().filter("size(image_dense) = 4").count() == 2
     assert engine.tracker.record("v1", 2).status == "failed"
+
+
+def test_writers_never_share_an_attempt(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tempora.plans import commits
+
+    folder = f"file://{tmp_path}/attempts"
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda _: commits.claim(spark, folder, 3), range(12)))
+    assert sorted(got) == list(range(3, 15))
+    assert commits.claim(spark, folder, 40) == 40
+
+
+def test_two_publications_of_one_video_leave_one_visible(spark, tmp_path):
+    one, two = (Engine(spark, f"file://{tmp_path}/e") for _ in range(2))
+    spoken, scenes, frames, meta = _match(spark, 1)
+    chunks = one.chunk(spoken, scenes, frames)
+    one.next_attempt = two.next_attempt = lambda: 1  # both have looked before either wrote
+    one.publish(chunks, meta, build_graph=False)
+    two.publish(chunks, meta, build_graph=False)
+    assert sorted(r.attempt for r in one.read("points").select("attempt").distinct().collect()) == [1, 2]
+    assert one.visible().count() == chunks.count() and one.visible().select("attempt").distinct().first().attempt == 2
