@@ -11,9 +11,9 @@ and is then verified once on the whole sets. No filter loses a pair: the result
 How frequent shingles are is counted over all documents, in a table of hashed counters whose size is fixed: a shingle that is
 much more frequent than what shares its counter stands out, and only that matters for the order.
 
-Documents of equal sets are one node. A shingle's bucket is not expanded into pairs: its members meet a leader first, links are
-closed to components, and only members of different components go on, pair by pair in small buckets, else in blocks of
-neighbouring sizes of which those meet whose sizes allow a link.
+Documents of equal sets are one node. A shingle's bucket is not expanded into pairs: its members meet a leader first and
+links are closed to components. Only members of different components go on, pair by pair in small buckets, in larger ones in
+blocks of neighbouring sizes of which those meet whose sizes allow a link.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, stage
@@ -36,7 +36,9 @@ from .words import Hasher, grams, split
 SHINGLE, PERCENT = 4, 85
 #: Hashed counters of shingles, and into how many chunks they are cut to be summed.
 COUNTERS, CHUNKS, FAN = 1 << 20, 16, 64
-PARTS, FEW = 16, 8
+PARTS, FEW = 16, 32
+#: Powers of two: bits of the filter of wanted texts at most.
+FILTER_BITS = 24
 
 
 def overlap(a: Column, b: Column, percent: int) -> Column:
@@ -108,7 +110,7 @@ def counters(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixes(held, n: int, percent: int):
-    """A set's rarest shingles, as far as its prefix goes, and the sizes of its parts."""
+    """A set's rarest shingles, as far as its prefix goes, and the sizes of its parts, up to 255, as the bytes of two integers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, counts = Hasher(), held.value
@@ -119,20 +121,28 @@ def _prefixes(held, n: int, percent: int):
                 if len(own):
                     order = np.lexsort((own, counts[(own % np.uint64(COUNTERS)).astype(np.int64)]))
                     parts = np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=PARTS)
-                    rows.append((node_key(own), doc_id, text_hash, len(own), own[order[: prefix_size(len(own), percent)]].view(np.int64), parts))
-            yield pd.DataFrame(rows, columns=["node", "doc_id", "text_hash", "size", "prefix", "parts"])
+                    low, high = np.minimum(parts, 255).astype(np.uint8).view(np.int64)
+                    rows.append((node_key(own), doc_id, text_hash, len(own), own[order[: prefix_size(len(own), percent)]].view(np.int64), low, high))
+            if rows:
+                yield pd.DataFrame(rows, columns=["node", "doc_id", "text_hash", "size", "prefix", "low", "high"])
 
     return run
 
 
+def near_sizes(a: str, b: str, percent: int) -> Column:
+    """Whether members a and b of a bucket (structs of size, low, high) pass the length filter and the suffix filter."""
+    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
+    length = F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent
+    octet = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))
+    apart = sum((F.abs(octet(f"{a}.{half}", k) - octet(f"{b}.{half}", k)) for half in ("low", "high") for k in range(8)), F.lit(0))
+    return length & (apart <= size_a + size_b - 2 * overlap(size_a, size_b, percent))
+
+
 def fits(a: str, b: str, percent: int) -> Column:
-    """Whether members a and b of a bucket (structs of size, rank, parts) pass the length, positional and suffix filters."""
+    """Whether they pass the positional filter as well, by the rank of the shingle at which they meet."""
     size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
     need = overlap(size_a, size_b, percent)
-    length = F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent
-    position = (size_a - F.col(f"{a}.rank") >= need) & (size_b - F.col(f"{b}.rank") >= need)
-    apart = F.aggregate(F.zip_with(f"{a}.parts", f"{b}.parts", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    return length & position & (apart <= size_a + size_b - 2 * need)
+    return near_sizes(a, b, percent) & (size_a - F.col(f"{a}.rank") >= need) & (size_b - F.col(f"{b}.rank") >= need)
 
 
 def _sets(n: int):
@@ -203,30 +213,74 @@ def blocked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("bucket", "low", "x", "y").applyInPandas(_block_links(percent), "a long, b long")
 
 
-def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node, label of all nodes that have a link. buckets: bucket, id, m (size, rank, parts), only of two and more members."""
-    sizes = stage(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket-sizes")
-    mass = stage(buckets.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("mass")), "masses")
+def pairs_of_few(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that meet in buckets of at most FEW members and pass the filters, each once.
+
+    Here the positional filter counts on: what a pair shares is no more than the shingles at which it has met, those of larger
+    buckets before the last of them, and what follows that one.
+    """
+    few = buckets.filter(F.col("n") <= FEW)
+    one, two = (few.select("bucket", F.col("id").alias(x), F.col("m").alias(f"m{x}")) for x in "ab")
+    met = one.join(two, "bucket").filter((F.col("a") < F.col("b")) & near_sizes("ma", "mb", percent))
+    last = [F.max(f"m{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("rank", "large", "size")]
+    told = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *last)
+    after = F.least(F.col("size_a") - F.col("rank_a"), F.col("size_b") - F.col("rank_b")) - 1
+    most = F.col("c") + F.least("large_a", "large_b") + after
+    return told.filter(most >= overlap(F.col("size_a"), F.col("size_b"), percent)).select("a", "b")
+
+
+def pairs_with_leaders(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each bucket's members with its leader that pass the filters, each once."""
     # The leader meets most others over all its buckets: of copies with different edits, the original.
+    mass = stage(buckets.groupBy("id").agg(F.sum("n").alias("mass")), "masses")
     lead = F.min(F.struct((-F.col("mass")).alias("order"), "id", "m")).alias("lead")
     leads = stage(buckets.join(mass, "id").groupBy("bucket").agg(lead).select("bucket", F.col("lead.id").alias("lead"), F.col("lead.m").alias("l")), "leaders")
     star = buckets.join(leads, "bucket").filter((F.col("id") != F.col("lead")) & fits("m", "l", percent))
-    tried = stage(star.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "star")
-    edges = stage(verified(tried, sets, percent), "links")
-    labels = components(edges)
+    return star.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+
+
+def links(buckets: DataFrame, star: DataFrame, few: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, label of all nodes that have a link.
 
-    marked = stage(buckets.join(labels, buckets.id == labels.node, "left").select("bucket", "id", "m", F.coalesce("label", "id").alias("label")), "marked")
-    several = marked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("label") != F.max("label")).alias("mixed"))
-    members = stage(marked.join(stage(several.filter("mixed AND n > 2").drop("mixed"), "mixed"), "bucket"), "open")
-    few = members.filter(F.col("n") <= FEW)
-    one, two = (few.select("bucket", F.col("id").alias(x), F.col("m").alias(f"m{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
-    pairs = one.join(two, "bucket").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits("ma", "mb", percent))
-    pairs = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    large = members.filter(F.col("n") > FEW).select("bucket", "id", "label", F.col("m.size").alias("size"))
-    more = stage(verified(pairs, sets, percent).unionByName(blocked(large, sets, percent)), "more-links")
+    buckets: bucket, id, n (the bucket's members), m (size, rank, large, low, high); star: pairs with leaders; few: those of small buckets.
+    """
+    edges = stage(verified(star, sets, percent), "links")
+    labels = components(edges)
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    label = lambda x: F.coalesce(f"l{x}", x)
+    open_pairs = few.join(star, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(label("a") != label("b")).select("a", "b")
+
+    large = buckets.filter(F.col("n") > FEW).select("bucket", "id", F.col("m.size").alias("size"))
+    marked = stage(large.join(labels, large.id == labels.node, "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label")), "marked")
+    mixed = marked.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("bucket")
+    more = verified(open_pairs, sets, percent).unionByName(blocked(marked.join(stage(mixed, "mixed"), "bucket"), sets, percent))
+    more = stage(more, "more-links")
     return labels if more.isEmpty() else components(edges.unionByName(more))
 
 
+def seen_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose 64-bit key may be in `wanted`, and few others: spares the shuffle of a join most of its rows.
+
+    A bit for each hash value, at most FILTER_BITS of them, goes to all tasks; where far more keys are wanted than there are bits, all
+    rows stay, and the join after it decides alone.
+    """
+    n = wanted.count()
+    bits = 1 << max(10, min(FILTER_BITS, (16 * n).bit_length()))
+    at = F.pmod(F.col(wanted.columns[0]), F.lit(bits))
+    set_bits = wanted.select(F.floor(at / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod({wanted.columns[0]}, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    words = np.zeros(bits // 64, np.int64)
+    for r in set_bits.collect():  # at most bits / 64 rows
+        words[r.w] = r.b
+    held = rows.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        k = keys.to_numpy(np.int64) % bits
+        return pd.Series((held.value[k >> 6] >> (k & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return rows.filter(maybe(F.col(key)))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id.
 
@@ -246,21 +300,32 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = spark.sparkContext.broadcast(counters(both))  # COUNTERS numbers
 
     keyed = rows.withColumn("text_hash", F.xxhash64("text"))
-    found = keyed.mapInPandas(_prefixes(held, n, percent), "node binary, doc_id long, text_hash long, size int, prefix array<long>, parts array<int>")
+    found = keyed.mapInPandas(_prefixes(held, n, percent), "node binary, doc_id long, text_hash long, size int, prefix array<long>, low long, high long")
     nodes = stage(found.dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id()), "nodes")
     held.unpersist()
 
     spread = nodes.select("id", F.posexplode("prefix").alias("rank", "bucket"))
-    shared = stage(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"), "shared")
+    shared = stage(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
     met = stage(spread.join(shared, "bucket"), "met")
-    own = met.join(nodes.select("id", "size", "parts"), "id")
-    buckets = stage(own.select("bucket", "id", F.struct("size", "rank", "parts").alias("m")), "buckets")
-
-    wanted = nodes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    texts = keyed.join(wanted, keyed.doc_id.eqNullSafe(wanted["_id"]) & (keyed.text_hash == wanted["_hash"]))
-    sets = stage(texts.select("id", "text").mapInPandas(_sets(n), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
-
-    labels = links(buckets, sets, percent)
+    own = met.join(nodes.select("id", "size", "low", "high"), "id")
+    before = F.coalesce(F.count_if(F.col("n") > FEW).over(Window.partitionBy("id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = stage(own.withColumn("large", before).select("bucket", "id", "n", F.struct("size", "rank", "large", "low", "high").alias("m")), "buckets")
+    discard(shared)
+    discard(met)
+
+    few, star = stage(pairs_of_few(buckets, percent), "few"), stage(pairs_with_leaders(buckets, percent), "star")
+    # Only nodes that some pair or a larger bucket holds are looked up: most shared shingles lead to no pair at all.
+    in_pairs = few.unionByName(star).select(F.explode(F.array("a", "b")).alias("id"))
+    open_ids = in_pairs.unionByName(buckets.filter(F.col("n") > FEW).select("id")).distinct()
+    wanted = nodes.join(open_ids, "id", "left_semi").select("id", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    wanted = stage(wanted, "wanted")
+    texts = seen_in(keyed, "text_hash", wanted.select(F.col("_hash")))
+    texts = texts.join(wanted, keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    sets = stage(texts.select("id", "text").mapInPandas(_sets(n), "id long, shingles array<long>"), "sets")
+    if not sets.groupBy("id").count().filter("count > 1").isEmpty():  # rows of one id and text, as far as there are any
+        sets = stage(sets.dropDuplicates(["id"]), "sets")
+
+    labels = links(buckets, star, few, sets, percent)
     of_node = stage(nodes.select("id", "node").join(labels.withColumnRenamed("node", "_id"), F.col("id") == F.col("_id"), "left").select("node", F.coalesce("label", "id").alias("label")), "labels")
     told = stage(who.join(of_node, "node", "left").select("doc_id", "n_shingles", "label"), "labelled")
     least = stage(told.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
