@@ -245,7 +245,7 @@ def varied_texts(seed):
                 w = rng.choice((w[:k] + w[k + 1 :], w[:k] + rng.choice("abé") + w[k:], w[:k] + rng.choice("xyß") + w[k + 1 :]))
             out.append(w.upper() if rng.random() < 0.1 else w)
         rows.append((i, rng.choice((" ", "-", "9")).join(out)))
-    return [*rows, (None, "colour colour"), (81, None), (82, ""), (83, "z" * 3000 + " " + "z" * 2999), (84, "z" * 3000), (85, "z" * 3000), rows[0], rows[0]]
+    return [*rows, (None, "colour colour"), (81, None), (82, ""), (83, "z" * 300 + " " + "z" * 299), (84, "z" * 300), (85, "z" * 300), rows[0], rows[0]]
 
 
 @pytest.mark.parametrize(("shard_chars", "pass_bytes"), [(1_000_000, 24_000_000), (200, 1)])
