@@ -16,6 +16,8 @@ WS_ODD = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,8 +44,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no more than its tasks."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = scratch_path(df.sparkSession, name), df.sparkSession.conf
+    # Nothing reads what this write has shuffled once it is done: those files go then, not when the driver next collects garbage.
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

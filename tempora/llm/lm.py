@@ -27,13 +27,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, remainder, stage
+from .common import discard, most_frequent, remainder, stage
 from .words import split
 
 END = b"\n"  # no word holds a line break
 FOLDS, HELD_OUT = 5, 1
 DICTIONARY, HEAD, ANCHORS, CLUSTERS, CLASSES = 300_000, 16_384, 64, 8, 24
-SLOTS, TAIL_BUCKETS, PARTS, ROUNDS, SALTS = 1 << 15, 4096, 16, 2, 64
+SLOTS, TAIL_BUCKETS, PARTS, ROUNDS, FAN = 1 << 15, 4096, 16, 2, 64
 GROWTH_TOKENS = 1 << 28
 BATCH, READ_WORDS, COUNT_WORDS = 16_384, 150_000, 200_000
 RATE, SMOOTH, SHRINK, MIN_COUNT = 0.4, 20.0, 2.0, 5
@@ -144,33 +144,52 @@ class Model:
         return n, n + 0.5 * (self.distinct - self.head + 1)
 
 
-def _salted(frame: DataFrame) -> DataFrame:
-    """Matrices of tasks with a salt by task, so that no more of them meet in one group than tasks by SALTS, then SALTS."""
-    return frame.withColumn("salt", F.spark_partition_id() % SALTS)
+def _packed(x: np.ndarray, kind: type) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x, kind).tobytes(), 1)
 
 
-def _summed(frame: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum of one matrix of fixed size from each task, packed in rows of `part`."""
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
 
-    def added(kind: type):
-        def add(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(zstandard.decompress(d), kind).astype(np.int64) for d in rows.data)
-            return pd.DataFrame({"part": rows.part.iloc[:1], "data": [zstandard.compress(total.tobytes(), 1)]})
 
-        return add
+def _met(frame: DataFrame, kinds: dict[str, type]) -> list:
+    """The sum of what tasks send, a row for each part: up to FAN tasks meet in a group, their sums likewise, until one is left.
 
-    add, add_sums = added(np.int32), added(np.int64)
+    frame: part, and for each of `kinds` a packed array of fixed size. As many levels as tasks need and no more: FAN tasks take one.
+    """
 
-    rows = _salted(frame).groupBy("part", "salt").applyInPandas(add, "part int, data binary")
-    rows = rows.groupBy("part").applyInPandas(add_sums, "part int, data binary").collect()
-    out = [np.zeros(0, np.int64)] * PARTS
-    for r in rows:
-        out[r.part] = np.frombuffer(zstandard.decompress(r.data), np.int64)
-    return np.concatenate(out).reshape(shape) if rows else np.zeros(shape, np.int64)
+    def add(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = {"part": rows.part.iloc[:1], "task": rows.task.iloc[:1] // FAN}
+        for name, kind in kinds.items():
+            into = np.float64 if kind == np.float32 else kind
+            total = _unpacked(rows[name].iloc[0], kind).astype(into)
+            for x in rows[name].iloc[1:]:
+                total += _unpacked(x, kind)
+            out[name] = [_packed(total, kind)]
+        return pd.DataFrame(out)
+
+    own = stage(frame.withColumn("task", F.spark_partition_id()), "sent")
+    most = own.agg(F.max("task")).first()[0] or 0
+    while True:
+        sums = stage(own.groupBy("part", F.floor(F.col("task") / FAN)).applyInPandas(add, own.schema), "sums")
+        discard(own)
+        own = sums
+        if most < FAN:
+            break
+        most //= FAN
+    rows = sorted(own.collect(), key=lambda r: r.part)  # PARTS rows at most
+    discard(own)
+    return rows
 
 
-def _parts(matrix: np.ndarray) -> list[bytes]:
-    return [zstandard.compress(np.ascontiguousarray(p).tobytes(), 1) for p in np.array_split(matrix.ravel(), PARTS)]
+def _summed(frame: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of one matrix of fixed size from each task, packed in rows of `part`."""
+    rows = _met(frame, {"data": np.int64})
+    return np.concatenate([_unpacked(r.data, np.int64) for r in rows]).reshape(shape) if rows else np.zeros(shape, np.int64)
+
+
+def _parts(matrix: np.ndarray, kind: type) -> list[bytes]:
+    return [_packed(p, kind) for p in np.array_split(matrix, PARTS)]
 
 
 def cooccurrences(docs: DataFrame, vocabulary: Vocabulary, head: int) -> np.ndarray:
@@ -188,7 +207,7 @@ def cooccurrences(docs: DataFrame, vocabulary: Vocabulary, head: int) -> np.ndar
                     ok = (a >= 0) & (a < ANCHORS) & (w >= 0) & (w < head)
                     total += np.bincount(w[ok] * ANCHORS + a[ok], minlength=head * ANCHORS)
         if any_doc:
-            yield pd.DataFrame({"part": range(PARTS), "data": _parts(total.astype(np.int32))})
+            yield pd.DataFrame({"part": range(PARTS), "data": _parts(total, np.int64)})
 
     return _summed(docs.select("text").mapInPandas(run, "part int, data binary"), (head, ANCHORS))
 
@@ -251,31 +270,18 @@ def _train_round(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray,
         if seen:
             change = (own.weights - m.weights) * used[:, None]
             yield pd.DataFrame({
-                "part": range(PARTS), "change": [zstandard.compress(np.ascontiguousarray(c, np.float32).tobytes(), 1) for c in np.array_split(change, PARTS)],
-                "used": [zstandard.compress(u.tobytes(), 1) for u in np.array_split(used, PARTS)], "bias": [((own.bias - m.bias) * seen).astype(np.float64).tobytes()] * PARTS, "seen": seen, "pairs": _parts(pairs.astype(np.int32)),
+                "part": range(PARTS), "change": _parts((own.weights - m.weights) * used[:, None], np.float32), "used": _parts(used, np.float32),
+                "pairs": _parts(pairs, np.int64), "bias": _parts(np.append((own.bias - m.bias) * seen, seen), np.float64),
             })
 
-    def add(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = lambda column, kind, into: sum(np.frombuffer(zstandard.decompress(x), kind).astype(into) for x in rows[column])
-        change, used = total("change", np.float32, np.float64), total("used", np.float32, np.float64)
-        bias, pairs = sum(np.frombuffer(b, np.float64) for b in rows.bias), total("pairs", np.int32, np.int64)
-        packed = lambda x, kind: [zstandard.compress(x.astype(kind).tobytes(), 1)]
-        return pd.DataFrame({"part": rows.part.iloc[:1], "change": packed(change, np.float64), "used": packed(used, np.float64), "bias": [bias.tobytes()], "seen": [int(rows.seen.sum())], "pairs": packed(pairs, np.int64)})
-
-    def merge(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = lambda column, kind: sum(np.frombuffer(zstandard.decompress(x), kind) for x in rows[column])
-        change, used, pairs = total("change", np.float64), total("used", np.float64), total("pairs", np.int64)
-        bias = sum(np.frombuffer(b, np.float64) for b in rows.bias) / rows.seen.sum()
-        change = change.reshape(len(used), n) / (used + SHRINK)[:, None]
-        return pd.DataFrame({"part": rows.part.iloc[:1], "change": [change.astype(np.float32).tobytes()], "bias": [bias.tobytes()], "pairs": [pairs.tobytes()]})
-
-    sums = "part int, change binary, used binary, bias binary, seen long, pairs binary"
-    sent = _salted(docs.select("text").mapInPandas(run, sums)).groupBy("part", "salt").applyInPandas(add, sums)
-    rows = sorted(sent.groupBy("part").applyInPandas(merge, "part int, change binary, bias binary, pairs binary").collect(), key=lambda r: r.part)
+    kinds = {"change": np.float32, "used": np.float32, "pairs": np.int64, "bias": np.float64}
+    rows = _met(docs.select("text").mapInPandas(run, "part int, change binary, used binary, pairs binary, bias binary"), kinds)
+    shared.unpersist()
     if not rows:
         return np.zeros_like(model.weights), np.zeros_like(model.bias), np.zeros((n, head), np.int64)
-    change = np.concatenate([np.frombuffer(r.change, np.float32) for r in rows]).reshape(model.weights.shape)
-    return change, np.frombuffer(rows[0].bias, np.float64), np.concatenate([np.frombuffer(r.pairs, np.int64) for r in rows]).reshape(n, head)
+    change, used, pairs, bias = (np.concatenate([_unpacked(r[k], kind) for r in rows]) for k, kind in kinds.items())
+    change = change.reshape(model.weights.shape) / (used + SHRINK)[:, None]
+    return change, bias[:-1] / bias[-1], pairs.reshape(n, head)
 
 
 def _inner(pairs: np.ndarray, counts: np.ndarray, classes: np.ndarray, n: int) -> np.ndarray:
@@ -357,9 +363,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 def score_held_out(docs: DataFrame) -> DataFrame:
     """Train on the documents that are not held out and score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    A null id counts as training text; rows that share an id are scored each. An empty table gives an empty result.
+    Ids are cast to long before they are dealt to folds, so that "007" and 7 fall on one side. A null id counts as training text; rows
+    that share an id are scored each. Null and empty texts are one end token; very long texts are taken whole, in groups of
+    their own. Other columns are not read. An empty table gives an empty result.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model, counts = train(rows.filter(~held_out(F.col("doc_id"))))
     out = score(rows, model, counts)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
