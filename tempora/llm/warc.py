@@ -9,9 +9,9 @@ number, checked against its total length and relieved of its chunked framing.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from itertools import islice
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, stage
 
-SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE, READ_RECORDS = 16384, 4096, 4096, 256
+SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE, READ_RECORDS, PIECE = 16384, 4096, 4096, 256, 65536
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -110,27 +110,57 @@ def _page(name: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"\d{1,18}", text) else None
+
+
+def inflated(content: bytes) -> tuple[bytes, bool]:
+    """What can be read of a gzip file of any number of members, and whether that is all of it."""
+    out, member = [], None
+    for at in range(0, len(content), PIECE):
+        data = content[at : at + PIECE]
+        while data:
+            member = member or zlib.decompressobj(wbits=31)
+            try:
+                out.append(member.decompress(data))
+            except zlib.error:
+                return b"".join(out), False
+            data, member = (member.unused_data, None) if member.eof else (b"", member)
+    return b"".join(out), member is None
+
+
 def _parsed(content: bytes) -> Iterator[tuple]:
+    """The records up to the first that is cut off or not one; from there on a record of the kind `broken` stands for the rest."""
+    content, whole = inflated(content)
     at = 0
     while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode().split("\r\n")[1:]
-        h = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines)}
-        size = int(h["content-length"])
+        end = content.find(b"\r\n\r\n", at)
+        lines = content[at : max(end, at)].decode(errors="replace").split("\r\n")
+        h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        size, name = _number(h.get("content-length")), h.get("warc-record-id")
+        if end < 0 or not lines[0].startswith("WARC/") or size is None or not name or end + 4 + size > len(content):
+            whole = False
+            break
         digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-        total = h.get("warc-segment-total-length")
-        yield (h["warc-record-id"], h["warc-type"], int(h.get("warc-segment-number", 0)), h.get("warc-segment-origin-id", h["warc-record-id"]), total and int(total), digest, _page(h.get("warc-refers-to")), _page(h["warc-record-id"]), h.get("warc-target-uri"), content[end + 4 : end + 4 + size])
+        number = _number(h.get("warc-segment-number")) or 0
+        total = _number(h.get("warc-segment-total-length"))
+        yield (name, h.get("warc-type"), number, h.get("warc-segment-origin-id", name), total, digest, _page(h.get("warc-refers-to")), _page(name), h.get("warc-target-uri"), content[end + 4 : end + 4 + size])
         at = end + 4 + size + 4
+    if not whole:
+        yield (None, "broken", 0, None, None, None, None, None, None, b"")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives below `path`."""
+    """A row for each record of the archives below `path`, whose files are gzip files of one or many members.
+
+    Of a file that is cut off or damaged the records before that place are read; one row more has the kind `broken`.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in RECORDS.split(", ")]
         for b in batches:
             for content in b.content:
-                records = _parsed(gzip.decompress(content))
+                records = _parsed(content)
                 while part := list(islice(records, READ_RECORDS)):
                     yield pd.DataFrame(part, columns=names).astype({"total": "Int64", "refers_to": "Int64", "page_id": "Int64"})
 
@@ -140,8 +170,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def reassemble(records: DataFrame) -> DataFrame:
     """One row for each response or revisit, with the decoded payload of responses.
 
-    Segments are grouped by origin identifier; `status` is ok, missing (a segment is absent), length (the total differs)
-    or framing (the chunked framing is broken), and the payload is null unless it is ok.
+    Segments are grouped by origin identifier; `status` is ok, missing (a segment is absent), length (the total differs),
+    framing (the chunked framing is broken) or archive (a row that stands for the unread rest of a damaged archive, of the
+    type `broken`), and the payload is null unless it is ok.
     """
     whole = records.filter("number = 0").select("kind", "page_id", "url", "refers_to", "digest", F.array(F.struct("number", "block")).alias("parts"), F.lit(None).cast("long").alias("total"))
     split = records.filter("number > 0").groupBy("origin").agg(
@@ -156,7 +187,9 @@ def reassemble(records: DataFrame) -> DataFrame:
                 numbers = [p["number"] for p in parts]
                 block = b"".join(bytes(p["block"]) for p in parts)
                 payload, status = None, "ok"
-                if numbers != [0] and (numbers != list(range(1, len(numbers) + 1)) or pd.isna(total)):
+                if kind == "broken":
+                    status = "archive"
+                elif numbers != [0] and (numbers != list(range(1, len(numbers) + 1)) or pd.isna(total)):
                     status = "missing"
                 elif numbers != [0] and len(block) != total:
                     status = "length"

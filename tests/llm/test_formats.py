@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 import struct
@@ -57,6 +58,38 @@ def test_broken_segments_are_named(spark, tmp_path):
     assert {r.page_id: r.status for r in warc.reassemble(cut).collect()} == {1: "missing", 2: "length", 3: "ok"}
 
 
+def archive(n, gap=": "):
+    """n responses, each a gzip member of its own."""
+    one = lambda i: "\r\n".join(["WARC/1.1", *(k + gap + v for k, v in (("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:page:{i}:0>"), ("Content-Length", "9"))), "", f"A: b\r\n\r\n{i}", "", ""])
+    return [gzip.compress(one(i).encode()) for i in range(n)]
+
+
+def test_archives_are_read_as_far_as_they_are_whole(spark, tmp_path):
+    whole, loose = archive(5), archive(2, gap=":")
+    files = {"whole": b"".join(whole), "loose": b"".join(loose), "cut": b"".join(whole)[:-20], "noise": b"".join(whole[:2]) + b"no gzip", "text": gzip.compress(b"no record at all"), "empty": b""}
+    short = gzip.decompress(b"".join(whole))
+    files["short"] = gzip.compress(short[: len(short) - 6])
+    for name, data in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc.gz").write_bytes(data)
+    got = {}
+    for name in files:
+        rows = warc.reassemble(warc.read_records(spark, str(tmp_path / name))).collect()
+        got[name] = (sorted(bytes(r.payload).decode() for r in rows if r.status == "ok"), sum(r.status == "archive" and r.record_type == "broken" for r in rows))
+    assert got == {
+        "whole": (list("01234"), 0), "loose": (list("01"), 0), "cut": (list("0123"), 1), "noise": (list("01"), 1),
+        "text": ([], 1), "empty": ([], 0), "short": (list("0123"), 1),
+    }
+
+
+def test_members_that_end_within_pieces(monkeypatch):
+    data = b"".join(archive(40))
+    for piece in (1, 7, 100, len(data)):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        assert warc.inflated(data) == (gzip.decompress(data), True)
+        assert warc.inflated(data[:-1])[1] is False
+
+
 def test_chunked_framing():
     for body in (b"", b"a", b"\r\n0\r\n\r\n" * 50):
         assert warc.dechunked(warc.chunked(body, 7)) == body
