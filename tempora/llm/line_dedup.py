@@ -92,7 +92,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A line whose key has at least `min_chars` code points and stands in at least `min_docs` rows is dropped except where
     the id is the largest that holds it. Null or empty texts are one empty line; a null id is below every other id. Rows
-    that share an id count each. An empty table gives an empty result.
+    that share an id count each. Very long texts are taken whole, in time linear in their lines. An empty table gives an
+    empty result; other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -104,9 +105,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = stage(index.totals().filter(F.col("n") >= min_docs).select(*KEY, "top"), "common-lines")
     index.drop()
 
-    lost = keys.join(common, KEY).filter(~F.col("id").eqNullSafe(F.col("top"))).groupBy("id").agg(F.collect_set(F.struct(*KEY)).alias("lost"))
-    joined = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    kept = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~(_long(x, min_chars) & F.array_contains("lost", _hashed(x)))))
-    return joined.withColumn("lines", _lines(F.col("text"))).withColumn("kept", kept).select(
+    # Places of lost lines, by id and text: rows that share an id, or have none, keep apart, and equal rows have equal places.
+    lines = _lines(F.col("text"))
+    own = rows.withColumn("text_hash", F.xxhash64("text"))
+    placed = F.filter(F.transform(lines, lambda x, i: F.when(_long(x, min_chars), F.struct(i.alias("at"), _hashed(x).alias("k")))), lambda x: x.isNotNull())
+    spread = own.select("doc_id", "text_hash", F.explode(placed).alias("p")).select("doc_id", "text_hash", "p.at", "p.k.h1", "p.k.h2")
+    lost = spread.join(common, KEY).filter(~F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("lost"))
+    lost = lost.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "lost")
+    joined = own.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    # Sets of integers are subtracted by hashing: the time is linear in the lines of a document.
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost")
+    kept = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.transform(places, lambda at: F.get("lines", at)))
+    return joined.withColumn("lines", lines).withColumn("kept", kept).select(
         "doc_id", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text")
     )

@@ -72,6 +72,17 @@ def test_line_dedup_matches_brute_force(spark):
         assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == lines_by_brute_force(rows, chars, docs)
 
 
+def test_rows_of_one_id_or_none_lose_their_own_lines(spark):
+    stock = [f"this line is long enough to be counted, number {i}" for i in range(30)]
+    texts = ["\n".join(["short", *stock[:20]]), "\n".join([*stock[10:], "short"]), "\n".join(stock[5:25] * 2)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[0]), (7, texts[2]), (9, "\n".join(stock)), (9, "")]
+    got = line_dedup.line_dedup(frame(spark, rows), min_docs=2).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([
+        (None, 21, 20, "short"), (None, 21, 20, "short"), (None, 21, 20, "short"),
+        (7, 21, 20, "short"), (7, 40, 40, ""), (9, 30, 0, "\n".join(stock)), (9, 1, 0, ""),
+    ], key=str)
+
+
 def test_runs_hold_each_key_once_and_stay_few(spark):
     index = line_dedup.LineRuns(spark, fanout=2, buckets=2)
     total = Counter()
