@@ -133,9 +133,12 @@ class Model:
         return np.where(ranks < self.head, self.classes[np.minimum(ranks, self.head - 1)], self.n_classes - 1)
 
     def log_classes(self, slots: np.ndarray) -> np.ndarray:
-        logits = self.weights[slots].sum(axis=1) + self.bias
+        logits = self.weights[slots[:, 0]] + self.bias
+        for k in range(1, slots.shape[1]):  # one table of tokens at a time stays in the processor's cache
+            logits += self.weights[slots[:, k]]
         logits -= logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        return logits
 
     @property
     def tail(self) -> tuple[float, float]:
@@ -238,7 +241,7 @@ def _steps(model: Model, slots: np.ndarray, target: np.ndarray, squares: np.ndar
     p[np.arange(len(p)), target] -= 1
     model.bias -= RATE * p.mean(axis=0)
     flat = slots.ravel()
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat.astype(np.uint16) if len(model.weights) <= 1 << 16 else flat, kind="stable")  # numpy sorts 16 bits by radix
     ordered = flat[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     rows = ordered[first]
