@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are no
 @pytest.mark.parametrize("name", sorted(set(driver.oracle_sql()) - set(own.oracle_sql())))
 def test_corpus_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = driver.queries()[name](spark, SF)
     columns = sorted(df.columns)
