@@ -78,8 +78,11 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _hashed(line: Column) -> Column:
-    key = ascii_lower(F.btrim(line, F.lit(SPACES)))
+def _key(line: Column) -> Column:
+    return ascii_lower(F.btrim(line, F.lit(SPACES)))
+
+
+def _hashed(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
 
 
@@ -97,7 +100,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    keys = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"), F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: _long(x, min_chars)), _hashed))).alias("k"))
+    keys = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"), F.col("doc_id").alias("id"), F.explode(F.transform(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: _long(x, min_chars)), _key)), _hashed)).alias("k"))  # texts are told apart by hashing, structs one by one
     keys = stage(keys.select("batch", "id", "k.h1", "k.h2"), "line-keys")
     index = LineRuns(spark)
     for b in range(batches):
@@ -108,7 +111,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Places of lost lines, by id and text: rows that share an id, or have none, keep apart, and equal rows have equal places.
     lines = _lines(F.col("text"))
     own = rows.withColumn("text_hash", F.xxhash64("text"))
-    placed = F.filter(F.transform(lines, lambda x, i: F.when(_long(x, min_chars), F.struct(i.alias("at"), _hashed(x).alias("k")))), lambda x: x.isNotNull())
+    placed = F.filter(F.transform(lines, lambda x, i: F.when(_long(x, min_chars), F.struct(i.alias("at"), _hashed(_key(x)).alias("k")))), lambda x: x.isNotNull())
     spread = own.select("doc_id", "text_hash", F.explode(placed).alias("p")).select("doc_id", "text_hash", "p.at", "p.k.h1", "p.k.h2")
     lost = spread.join(common, KEY).filter(~F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("lost"))
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "lost")
