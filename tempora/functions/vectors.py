@@ -29,8 +29,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    n = norm(v)
-    return F.transform(doubles(v), lambda x: F.when(n > 0, x / n).otherwise(0.0))
+    # The norm is bound by a lambda of its own, or it would be computed for each element.
+    scaled = F.transform(F.array(norm(v)), lambda n: F.transform(doubles(v), lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+    return F.get(scaled, F.lit(0))
 
 
 def sigmoid(x: Column) -> Column:

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-from ..functions.vectors import dot, l2_normalize
+from ..functions.vectors import l2_normalize
 from ..sources.staging import Passes, stage
-from . import impact
+from . import dense, impact
 
-RRF_K, TOP_K, QUERIES_PER_PASS = 60, 20, 1000
+RRF_K, TOP_K = 60, 20
+#: Queries of a pass of dense search, and numbers in their vectors; half as many are meant to be in one.
+QUERIES_PER_PASS, PASS_VALUES = 32_768, 1 << 21
 SPACES = ("semantic", "visual", "keyword")
 DEFAULT_ALPHA, DEFAULT_BETA = 0.6, 0.2
 
@@ -46,24 +48,18 @@ def top(scored: DataFrame, k: int = TOP_K, by: str = "score") -> DataFrame:
 def dense_topk(points: DataFrame, queries: DataFrame, vector: str, k: int = TOP_K) -> DataFrame:
     """query_id, point_id, score, rank by cosine. points: point_id and vector columns; queries: query_id and vector.
 
-    Queries are a stated set. They go to the points in blocks of at most QUERIES_PER_PASS rows, a broadcast each, and a
-    pass keeps k rows a query and task before anything is shuffled. Where there are several blocks, each is written before the
-    next is planned. A query never finds itself. `ann.ann_topk` looks at a part of the points only.
+    Queries are a stated set. They go to the points in passes of at most QUERIES_PER_PASS rows and PASS_VALUES numbers, a broadcast
+    each, and a task keeps k rows a query before anything is shuffled (`dense`). Each pass is written before the next is planned.
+    A query never finds itself. `ann.ann_topk` looks at a part of the points only.
     """
-    blocks = max(1, -(-queries.count() // (QUERIES_PER_PASS // 2)))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("length")).first()
+    blocks = max(1, -(-size.n // max(1, min(QUERIES_PER_PASS, PASS_VALUES // max(1, size.length or 1)) // 2)))
     own = points.select("point_id", l2_normalize(F.col(vector)).alias("v"))
-
-    def one(b: int) -> DataFrame:
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", l2_normalize(F.col(vector)).alias("q"))
-        pairs = own.join(F.broadcast(block), F.col("point_id") != F.col("query_id"))
-        return top(pairs.select("query_id", "point_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")), k)
-
-    if blocks == 1:
-        return one(0)
     passes = Passes(points.sparkSession, "dense")
     for b in range(blocks):
-        passes.add(one(b))
-    return passes.rows()
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", l2_normalize(F.col(vector)).alias("v"))
+        passes.add(dense.best_of_tasks(own, block, k))
+    return top(passes.rows(), k)
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -64,13 +64,15 @@ def vectors_of_components(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("point_id").alias("id"), above.alias("c")).select("id", F.col("c.term").alias("terms"), F.col("c.weight").alias("weights"))
 
 
-def hits(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def hits(spark: SparkSession, sf_dir: str, flags: list[str] | None = None) -> dict[str, DataFrame]:
+    """The hits of the spaces to search: all where no flag is given. Searches run when they are made."""
     p, q = points(spark, sf_dir), asked(spark, sf_dir)
-    return {
-        "semantic": search.dense_topk(p, q, "text_dense"),
-        "visual": search.dense_topk(p, q, "image_dense"),
-        "keyword": search.sparse_topk(vectors_of_components(p), components(q, "query_id")),
+    searches = {
+        "semantic": lambda: search.dense_topk(p, q, "text_dense"),
+        "visual": lambda: search.dense_topk(p, q, "image_dense"),
+        "keyword": lambda: search.sparse_topk(vectors_of_components(p), components(q, "query_id")),
     }
+    return {s: run() for s, run in search.active_spaces(searches, flags).items()}
 
 
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +195,7 @@ def tri_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_fused_sql(0.6, 0.2, "0, 2"))
 def tri_search_two_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(search.fuse(search.active_spaces(hits(spark, sf_dir), ["semantic", "keyword"])))
+    return _flat(search.fuse(hits(spark, sf_dir, ["semantic", "keyword"])))
 
 
 @query("""WITH w(domain, alpha, beta) AS (VALUES ('0', 0.5::DOUBLE, 0.3::DOUBLE), ('1', 0.9::DOUBLE, 0.4::DOUBLE))

@@ -1,13 +1,16 @@
 """The indexes against exact answers: dense cells, postings by impact, and the chunker on long timelines."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tempora import queries as own
-from tempora.operators import ann, chunking, impact, search
+from tempora.functions import vectors
+from tempora.operators import ann, chunking, dense, impact, search
 from tempora.plans.engine import Engine
 from tempora.sources import staging
 
@@ -108,6 +111,48 @@ def test_dense_passes_are_staged(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want and "Union" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def pairwise(p, q, k):
+    """Dense search as a join of all pairs."""
+    own = p.select("point_id", vectors.l2_normalize(F.col("v")).alias("v"))
+    pairs = own.join(q.select("query_id", vectors.l2_normalize(F.col("v")).alias("q")), F.col("point_id") != F.col("query_id"))
+    return search.top(pairs.select("query_id", "point_id", (F.round(vectors.dot(F.col("v"), F.col("q")), 6) + 0.0).alias("score")), k)
+
+
+@pytest.mark.parametrize("name", [False, True])
+def test_dense_search_equals_all_pairs(spark, monkeypatch, name):
+    monkeypatch.setattr(dense, "CHUNK", 50)
+    monkeypatch.setattr(dense, "BLOCK", 7)
+    rng = random.Random(5)
+    rows = [[float(rng.randint(-1, 2)) for _ in range(4)] for _ in range(400)] + [[0.0, 1.0, 1.0, 0.0]] * 200
+    rows += [None] * 60 + [[0.0] * 4, [1.0, float("nan"), 0.0, 1.0], [1.0, None, 0.0, 1.0], [1.0, 2.0], [], [1e-9, 0.0, 0.0, 0.0]]
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    p = spark.createDataFrame([(i, rows[i]) for i in [*order, 40, 41]] + [(None, [1.0] * 4)], "point_id long, v array<float>")
+    if name:
+        p = p.withColumn("point_id", F.concat(F.lit("é"), F.col("point_id").cast("string")))
+    some = F.regexp_replace(F.col("point_id").cast("string"), "é", "").cast("long")
+    q = p.filter((some % 20 == 0) | (some >= 600)).select(F.col("point_id").alias("query_id"), "v")
+    key = lambda r: (str(r.query_id), r["rank"])
+    for k in (3, 30):
+        got, want = (sorted(f(p, q, k).select("query_id", "point_id", "score", "rank").collect(), key=key) for f in (lambda *a: exact(spark, *a), pairwise))
+        assert list(map(repr, got)) == list(map(repr, want))
+    assert exact(spark, p.limit(0), q).count() == 0 and exact(spark, p, q.limit(0)).count() == 0
+
+
+def test_dense_search_looks_at_few_pairs(monkeypatch):
+    """After the first chunk a pair costs a comparison: what is sorted stays near k rows a query, also where many points are equal."""
+    rng, added = np.random.default_rng(3), []
+    points, asked = rng.normal(size=(20_000, 8)), rng.normal(size=(64, 8))
+    points[::3] = points[0]
+    pa_lists = lambda m: pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * 8, m.ravel())
+    held = dense.Asked(pa.array(-1 - np.arange(64)), pa.array(-1 - np.arange(64)), pa_lists(asked))
+    add = dense.Best.add
+    monkeypatch.setattr(dense.Best, "add", lambda self, query, score, ids: (added.append(len(query)), add(self, query, score, ids)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(20_000)), pa_lists(points)], ["point_id", "v"])
+    out = list(dense._search(SimpleNamespace(value=held), 5, (pa.int64(), pa.int64()))([batch]))
+    assert sum(b.num_rows for b in out) == 64 * 5 and sum(added) < 64 * 20_000 / 20
+
+
 def test_registered_index_query(spark):
     sf = "/root/testdata/sf0.01"
     got, want = own.queries()["ann_topk"](spark, sf), own.queries()["dense_topk"](spark, sf)
