@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import ends_sentence
 from ..sources.staging import stage
 
-MAX_CHARS, MAX_SECONDS, EPSILON, BUCKET_SECONDS = 400, 15.0, 1e-6, 600
+MAX_CHARS, MAX_SECONDS, EPSILON = 400, 15.0, 1e-6
+#: The narrowest and widest buckets of scenes, as powers of two of a second.
+LEVELS = -10, 60
 #: Rows of a block of the timeline, more where a chunk may hold more; monotonically_increasing_id() holds the partition above these bits.
 BLOCK_ROWS, PLACE_BITS = 512, 33
 
@@ -36,18 +38,24 @@ def scenes_at(rows: DataFrame, scenes: DataFrame, times: dict[str, Column], key:
 
     key: columns that tell rows apart. The first scene with start <= t < end counts; past the end of the last scene it
     is the last, anywhere else 0, also where a video has no scenes. Scenes and times meet in buckets of time by one equal
-    join for all times, so that no video's scenes are compared with all of its rows.
+    join for all times, so that no video's scenes are compared with all of its rows. A scene's buckets are as wide as it is long, up to
+    a power of two, so that it lies in three at most; a time looks into one bucket of each width that its video has.
     """
-    bucket = lambda c: F.floor(c / BUCKET_SECONDS)
-    spread = scenes.select("vid_hash", F.col("scene_index").alias("_scene"), "start_sec", "end_sec").filter("start_sec < end_sec")
-    spread = spread.withColumn("_b", F.explode(F.sequence(bucket(F.col("start_sec")), bucket(F.col("end_sec")))))
+    bucket = lambda t, level: F.floor(t / F.pow(F.lit(2.0), level))
+    level = F.least(F.greatest(F.ceil(F.log2(F.col("end_sec") - F.col("start_sec"))), F.lit(LEVELS[0])), F.lit(LEVELS[1]))
+    spread = scenes.withColumn("_level", F.when(F.col("start_sec") < F.col("end_sec"), level))
+    ends = spread.groupBy("vid_hash").agg(F.max_by("end_sec", "scene_index").alias("_end"), F.max("scene_index").alias("_last"), F.collect_set("_level").alias("_levels"))
+    first = bucket(F.col("start_sec"), F.col("_level"))
+    within = F.sequence(first, F.least(bucket(F.col("end_sec"), F.col("_level")), first + 2))
+    spread = spread.filter("_level IS NOT NULL").select("vid_hash", F.col("scene_index").alias("_scene"), "start_sec", "end_sec", "_level", F.explode(within).alias("_b"))
     names = list(times)
-    timed = rows.withColumn("_times", F.array(*[times[n].cast("double") for n in names]))
-    each = timed.select(*key, F.posexplode("_times").alias("_i", "_t")).withColumn("_b", bucket(F.col("_t")))
-    hit = each.join(spread, ["vid_hash", "_b"]).filter("_t >= start_sec AND _t < end_sec")
+    timed = rows.withColumn("_times", F.array(*[times[n].cast("double") for n in names])).join(ends, "vid_hash", "left")
+    each = timed.select("vid_hash", *[k for k in key if k != "vid_hash"], "_levels", F.posexplode("_times").alias("_i", "_t"))
+    each = each.withColumn("_level", F.explode("_levels")).withColumn("_b", bucket(F.col("_t"), F.col("_level"))).drop("_levels")
+    # Spark does not see that scenes were made by exploding, and would broadcast them all.
+    hit = each.join(spread.hint("merge"), ["vid_hash", "_level", "_b"]).filter("_t >= start_sec AND _t < end_sec")
     hit = hit.groupBy(*key).agg(*[F.min(F.when(F.col("_i") == i, F.col("_scene"))).alias(f"_found{i}") for i in range(len(names))])
-    ends = scenes.groupBy("vid_hash").agg(F.max_by("end_sec", "scene_index").alias("_end"), F.max("scene_index").alias("_last"))
-    out = timed.join(hit, key, "left").join(ends, "vid_hash", "left")
+    out = timed.join(hit, key, "left")
     scene = lambda i: F.coalesce(F.col(f"_found{i}"), F.when(F.get("_times", F.lit(i)) >= F.col("_end"), F.col("_last")), F.lit(0)).cast("int")
     return out.select(*rows.columns, *[scene(i).alias(n) for i, n in enumerate(names)])
 

@@ -473,3 +473,30 @@ def test_engine_finds_by_image(spark, tmp_path):
     q = spark.createDataFrame([("q", "goal", [0.8, 0.6])], "query_id string, query string, image_dense array<float>")
     got = engine.search(q, "sport", flags=["visual"]).collect()
     assert [(r.text, r.source_flags) for r in got] == [("final whistle.", ["visual"])]
+
+
+def test_scenes_of_any_length_meet_times(spark):
+    """Against every scene of a video; scenes that were exploded are never broadcast, and a long one is few rows."""
+    rng = random.Random(8)
+    scenes = [(v, i, a := rng.choice([0.0, rng.uniform(-50, 4000)]), a + rng.choice([-1.0, 0.0, 0.01, 3.0, 600.0, 1e6, float("inf")])) for v in "abc" for i in range(25)]
+    scenes += [("d", i, i * 10.0, i * 10.0 + 8) for i in range(40)]
+    times = [(v, i, rng.choice([rng.uniform(-80, 5000), rng.choice(scenes)[2], rng.choice(scenes)[3]])) for v in "abcde" for i in range(120)] + [("a", 998, None), ("a", 999, float("nan"))]
+    made = spark.createDataFrame(scenes, "vid_hash string, scene_index int, start_sec double, end_sec double")
+    got = chunking.scene_at(spark.createDataFrame(times, "vid_hash string, ord int, t double"), made, F.col("t"), ["vid_hash", "ord"])
+
+    def scene(v, t):
+        own = [s for s in scenes if s[0] == v]
+        last = max(own, key=lambda s: s[1], default=None)
+        if t is None or last is None:
+            return 0
+        found = [i for _, i, a, b in own if a <= t < b]
+        return min(found) if found else last[1] if t >= last[3] or t != t else 0
+
+    assert {(r.vid_hash, r.ord): r.scene_index for r in got.collect()} == {(v, i): scene(v, t) for v, i, t in times}
+    hour = spark.range(1000).select(F.col("id").cast("string").alias("vid_hash"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("scene_index"))
+    hour = hour.select("*", (F.col("scene_index") * 3600.0).alias("start_sec"), ((F.col("scene_index") + 1) * 3600.0).alias("end_sec"))
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("vid_hash"), F.lit(1).alias("ord"), F.lit(7200.0).alias("t"))
+    df = chunking.scene_at(rows, hour, F.col("t"), ["vid_hash", "ord"])
+    assert [r.scene_index for r in df.select("scene_index").distinct().collect()] == [2]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
