@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import Passes
 
-#: Terms of a shard (a longer text is one by itself), and queries of a pass.
-SHARD_TERMS, PASS_QUERIES = 100_000, 1000
+#: Terms of a shard (a longer text is one by itself), shards of a file, which Spark reads at once, and queries of a pass.
+SHARD_TERMS, FILE_SHARDS, PASS_QUERIES = 100_000, 16, 1000
 #: Scores are ranked as rounded; sums of floats and bounds of theirs may differ by less than this.
 SLACK, DIGITS = 1e-6, 6
 

@@ -74,7 +74,7 @@ def sparse_topk(points: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFr
     points: id, terms, weights (arrays, a term once a point), or shards of them as `impact.shards` makes; queries: postings. No
     weight is negative.
     """
-    own = points if "ids" in points.columns else stage(impact.shards(points), "shards")
+    own = points if "ids" in points.columns else stage(impact.shards(points), "shards", impact.FILE_SHARDS)
     found = impact.topk(own, queries, k)
     return top(found.withColumn("score", F.round("score", impact.DIGITS)), k)
 
@@ -85,7 +85,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = 1
     Texts are cut into terms once; their postings are staged in shards, from which corpus figures and scores come. Texts without
     terms are no documents.
     """
-    own = stage(impact.shards(docs.select("id", terms(F.col("text")).alias("terms"))), "shards")
+    own = stage(impact.shards(docs.select("id", terms(F.col("text")).alias("terms"))), "shards", impact.FILE_SHARDS)
     found = impact.topk(own, queries.withColumn("weight", F.lit(1.0)), k, (k1, b), itself=True)
     return top(found.withColumn("score", F.round("score", impact.DIGITS)), k)
 

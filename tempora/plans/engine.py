@@ -142,7 +142,7 @@ class Engine:
         """Terms of points, in shards of one video each, so that a commit shows or hides them with the video's points."""
         own = rows.select("domain", "vid_hash", "attempt", F.col("point_id").alias("id"), terms(F.col("text")).alias("terms"))
         made = impact.shards(own.sort("domain", "vid_hash", "attempt", "id"), ("domain", "vid_hash", "attempt"))
-        made.write.mode("append").partitionBy("domain").parquet(self.path("postings"))
+        made.write.option("maxRecordsPerFile", impact.FILE_SHARDS).mode("append").partitionBy("domain").parquet(self.path("postings"))
 
     def model(self) -> ann.Model | None:
         """The dense index's model; None where no index was built."""

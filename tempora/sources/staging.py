@@ -26,10 +26,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """The rows as written and read back: a lost executor costs its tasks, and what follows never runs their plan again."""
+def stage(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
+    """The rows as written and read back: a lost executor costs its tasks, and what follows never runs their plan again.
+
+    Spark reads thousands of rows of a file at once: where rows are large, a file should hold few.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -162,6 +162,17 @@ def test_registered_index_query(spark):
 # Postings ---------------------------------------------------------------------------------------------------------------
 
 
+def test_files_hold_few_shards(spark, monkeypatch):
+    """Spark reads thousands of rows of a file at once, and a shard is a row of megabytes."""
+    monkeypatch.setattr(impact, "FILE_SHARDS", 2)
+    staged = []
+    monkeypatch.setattr(search, "stage", lambda *a: staged.append(staging.stage(*a)) or staged[-1])
+    docs = spark.range(6).coalesce(1).select("id", F.concat(F.lit("x"), "id", F.expr("repeat(' the', 100000)")).alias("text"))
+    got = search.bm25_topk(docs, search.postings(spark.createDataFrame([(7, "x3")], "item_id long, text string"), "item_id", "text"), 2)
+    assert [r.point_id for r in got.collect()] == [3] and staged[0].count() == 6
+    assert all(spark.read.parquet(f).count() <= 2 for f in staged[0].inputFiles())
+
+
 def texts(seed: int, n: int = 300) -> list[tuple[int, str]]:
     rng = random.Random(seed)
     rows = [(i, " ".join(["the"] + [f"w{int(rng.paretovariate(0.7)) % 500}" for _ in range(rng.randrange(0, 60))])) for i in range(n)]
