@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ WS_ODD = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
+#: Rows of a batch that a task looks at together.
+SLICE_ROWS = 1000
+
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -74,6 +79,21 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def in_slices(run: Callable, schema: pa.Schema, rows: int = SLICE_ROWS) -> Callable:
+    """`run`, a function from pandas frames to pandas frames, for mapInArrow: a task turns so many rows of a batch into objects at a time.
+
+    Spark's batches have 10,000 rows: their texts, as strings, with what is made of them would be in memory at once.
+    """
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Whole numbers stay so beside nulls.
+        parts = (b.slice(at, rows).to_pandas(integer_object_nulls=True) for b in batches for at in range(0, b.num_rows, rows))
+        for out in run(parts):
+            yield pa.RecordBatch.from_pandas(out, schema, preserve_index=False)
+
+    return sliced
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; plain ASCII takes the cheaper function."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

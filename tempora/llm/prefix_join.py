@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import discard, in_slices, stage
 from .minhash import BLOCK_NODES, BLOCK_SHINGLES, _merging, components, overlaps
 from .words import Hasher, grams, split
 
@@ -37,6 +38,10 @@ SHINGLE, PERCENT = 4, 85
 #: Hashed counters of shingles, and into how many chunks they are cut to be summed.
 COUNTERS, CHUNKS, FAN = 1 << 20, 16, 64
 PARTS, FEW = 16, 32
+_LONG, _LIST = pa.int64(), pa.list_(pa.int64())
+_COUNTED = pa.schema([("doc_id", _LONG), ("node", pa.binary()), ("size", _LONG), ("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+_PREFIXES = pa.schema([("node", pa.binary()), ("doc_id", _LONG), ("text_hash", _LONG), ("size", pa.int32()), ("prefix", _LIST), ("low", _LONG), ("high", _LONG)])
+_SETS = pa.schema([("id", _LONG), ("shingles", _LIST)])
 #: Powers of two: bits of the filter of wanted texts at most.
 FILTER_BITS = 24
 
@@ -294,13 +299,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    both = rows.mapInPandas(_counted(n), "doc_id long, node binary, size long, chunk int, part int, counts binary")
+    both = rows.mapInArrow(in_slices(_counted(n), _COUNTED), "doc_id long, node binary, size long, chunk int, part int, counts binary")
     both = stage(both, "documents")
     who = both.filter("chunk IS NULL").select("doc_id", "node", F.col("size").alias("n_shingles"))
     held = spark.sparkContext.broadcast(counters(both))  # COUNTERS numbers
 
     keyed = rows.withColumn("text_hash", F.xxhash64("text"))
-    found = keyed.mapInPandas(_prefixes(held, n, percent), "node binary, doc_id long, text_hash long, size int, prefix array<long>, low long, high long")
+    found = keyed.mapInArrow(in_slices(_prefixes(held, n, percent), _PREFIXES), "node binary, doc_id long, text_hash long, size int, prefix array<long>, low long, high long")
     nodes = stage(found.dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id()), "nodes")
     held.unpersist()
 
@@ -321,7 +326,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = stage(wanted, "wanted")
     texts = seen_in(keyed, "text_hash", wanted.select(F.col("_hash")))
     texts = texts.join(wanted, keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    sets = stage(texts.select("id", "text").mapInPandas(_sets(n), "id long, shingles array<long>"), "sets")
+    sets = stage(texts.select("id", "text").mapInArrow(in_slices(_sets(n), _SETS), "id long, shingles array<long>"), "sets")
     if not sets.groupBy("id").count().filter("count > 1").isEmpty():  # rows of one id and text, as far as there are any
         sets = stage(sets.dropDuplicates(["id"]), "sets")
 

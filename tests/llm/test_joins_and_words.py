@@ -7,10 +7,12 @@ import zlib
 from collections import Counter
 from hashlib import sha256
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tempora.llm import importance, minhash, prefix_join, spelling
+from tempora.llm.common import in_slices
 
 from .cases import documents, frame, prose, words
 
@@ -282,3 +284,27 @@ def test_chains_of_forms_end_at_their_root(spark):
 
 def test_no_words_no_variants(spark):
     assert variants(spark, []) == [] and variants(spark, [(1, None), (2, "a bc 12")]) == []
+
+
+def test_batches_are_looked_at_in_slices():
+    seen = []
+
+    def run(parts):
+        for b in parts:
+            seen.append(len(b))
+            yield b
+
+    schema = pa.schema([("id", pa.int64()), ("text", pa.string())])
+    ids = [2**60 + 1, None, *range(2500)]
+    batch = pa.RecordBatch.from_pydict({"id": ids, "text": ["a"] * len(ids)}, schema)
+    out = list(in_slices(run, schema)([batch]))
+    assert seen == [1000, 1000, 502] and [i for b in out for i in b.column(0).to_pylist()] == ids
+
+
+def test_ngram_join_slices_texts(spark, monkeypatch):
+    """No function of the join is given a whole batch of texts."""
+    rows = []
+    monkeypatch.setattr(prefix_join, "in_slices", lambda run, schema: rows.append(schema.names) or in_slices(run, schema, 2))
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j" if i % 2 else f"x{i} b c d e") for i in range(20)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in prefix_join.similar_groups(docs).collect()}
+    assert got == {i: 1 if i % 2 else i for i in range(20)} and len(rows) == 3
