@@ -2,7 +2,8 @@
 
 A pass of queries is broadcast; a task multiplies its points, a chunk at a time, with the queries, a block at a time, and keeps the k
 best points of each query. Once a query has k points, only scores that reach the least of them are looked at one by one, so a
-pair costs a multiplication of matrices and one comparison. What a task holds is a chunk's scores and k rows a query.
+pair costs a multiplication of matrices and one comparison. Both are done in single precision, with a margin for what that may be
+off; what reaches it is scored again in double. What a task holds is a chunk's scores and k rows a query.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 CHUNK, BLOCK = 4096, 1024
 #: Scores are ranked as rounded to DIGITS; two scores that round alike differ by no more than SLACK.
 DIGITS, SLACK = 6, 2e-6
+#: Single precision: its unit of rounding, and between which bounds products are taken in it.
+UNIT, LEAST, MOST = 2.0**-24, 1e-30, 1e30
+#: Where more than one in so many pairs is looked at, all are scored in double at once.
+DENSE_PAIRS = 16
 
 
 def rounded(scores: np.ndarray) -> np.ndarray:
@@ -35,13 +40,23 @@ def _matrix(vectors: pa.Array, rows: np.ndarray, length: int) -> np.ndarray:
     return vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), length)
 
 
+def _single(matrix: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return matrix.astype(np.float32)
+
+
+def _least(matrix: np.ndarray) -> float:
+    """The least of the numbers above zero."""
+    return float(np.min(matrix, where=matrix > 0, initial=np.inf))
+
+
 class Block:
     """Queries of one length of vector, sorted by `code`, which stands for their ids; -1 is the length of null."""
 
-    def __init__(self, rows: np.ndarray, codes: np.ndarray, vectors: pa.Array, length: int) -> None:
-        self.rows, self.codes, self.length = rows, codes[rows], length
-        self.matrix = _matrix(vectors, rows, length) if length >= 0 else np.empty((len(rows), 0))
-        self.nan = bool(np.isnan(self.matrix).any())
+    def __init__(self, rows: np.ndarray, codes: np.ndarray, matrix: np.ndarray, length: int) -> None:
+        self.rows, self.codes, self.length, self.matrix = rows, codes, length, matrix
+        self.nan, self.norms = bool(np.isnan(matrix).any()), np.linalg.norm(matrix, axis=1)
+        self.single, self.least = _single(matrix), _least(matrix)
 
 
 class Asked:
@@ -54,7 +69,9 @@ class Asked:
         for length in np.unique(lengths):
             own = np.flatnonzero(lengths == length)
             own = own[np.argsort(codes[own], kind="stable")]
-            self.blocks += [Block(own[lo : lo + BLOCK], codes, vectors, length) for lo in range(0, len(own), BLOCK)]
+            for lo in range(0, len(own), BLOCK):
+                part = own[lo : lo + BLOCK]
+                self.blocks.append(Block(part, codes[part], _matrix(vectors, part, length) if length >= 0 else np.empty((len(part), 0)), length))
 
 
 class Best:
@@ -88,22 +105,36 @@ class Best:
         self.floor[query[end]], self.full[query[end]], self.last[query[end]] = score[end], True, ids[end]
 
 
-def _add_scored(best: Best, block: Block, matrix: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> None:
-    scores = block.matrix @ matrix.T
-    if block.nan or np.isnan(matrix).any():
+def add_scored(best: Best, block: Block, matrix: np.ndarray, ids: np.ndarray, codes: np.ndarray, positive: bool = False) -> None:
+    """Add points to what the block's queries have found; with `positive` those of score 0 are none, and no number is negative."""
+    norm = np.linalg.norm(matrix, axis=1).max()
+    # A sum of n products is off by n units of its vectors' lengths at most, and so is the sum it is compared with.
+    margin = SLACK + 2 * (matrix.shape[1] + 4) * UNIT * block.norms * norm
+    single = bool((margin < MOST * UNIT).all()) and not (positive and block.least * _least(matrix) < LEAST)
+    scores = block.single @ _single(matrix).T if single else block.matrix @ matrix.T
+    if not single and (block.nan or np.isnan(matrix).any()):
         scores[np.isnan(scores)] = np.inf
     # A query never finds itself.
     lo, hi = np.searchsorted(block.codes, codes), np.searchsorted(block.codes, codes, "right")
     for p in np.flatnonzero((hi > lo) & (codes >= 0)):
-        scores[lo[p] : hi[p], p] = -np.inf
+        scores[lo[p] : hi[p], p] = 0 if positive else -np.inf
     least = best.floor.copy()
     if len(ids) > best.k and not best.full.all():
         new = np.flatnonzero(~best.full)
         least[new] = np.partition(scores[new], len(ids) - best.k, axis=1)[:, len(ids) - best.k]
-    query, point = np.nonzero(scores >= (least - SLACK)[:, None])
-    found = scores[query, point]
+    least -= margin if single else SLACK
+    if positive:
+        least = np.maximum(least, np.finfo(np.float32).smallest_subnormal if single else np.nextafter(0, 1))
+    at = np.flatnonzero(scores >= least.astype(scores.dtype)[:, None])
+    found, (query, point) = scores.ravel()[at], np.divmod(at, len(ids))
     real = found > -np.inf
-    best.add(query[real], rounded(found[real]), ids[point[real]])
+    if not real.all():
+        at, found, query, point = at[real], found[real], query[real], point[real]
+    if single and len(at) * DENSE_PAIRS > scores.size:
+        found = (block.matrix @ matrix.T).ravel()[at]
+    elif single:
+        found = np.einsum("ij,ij->i", block.matrix[query], matrix[point])
+    best.add(query, rounded(found), ids[point])
 
 
 def _add_null(best: Best, block: Block, ids: np.ndarray, codes: np.ndarray) -> None:
@@ -131,7 +162,7 @@ def _search(held, k: int, kinds: tuple[pa.DataType, pa.DataType]):
                         matrices[block.length] = same, other, _matrix(vectors, same, max(0, block.length))
                     same, other, matrix = matrices[block.length]
                     if len(same):
-                        _add_scored(b, block, matrix, ids[same], codes[same])
+                        add_scored(b, block, matrix, ids[same], codes[same])
                     if len(other):
                         _add_null(b, block, ids[other], codes[other])
         for b, block in zip(best, asked.blocks, strict=True):

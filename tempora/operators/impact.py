@@ -20,9 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.staging import Passes
+from . import dense
 
-#: Terms of a shard (a longer text is one by itself), shards of a file, which Spark reads at once, and queries of a pass.
-SHARD_TERMS, FILE_SHARDS, PASS_QUERIES = 100_000, 16, 1000
+#: Terms of a shard (a longer text is one by itself), shards of a file, which Spark reads at once, queries of a pass and their terms.
+SHARD_TERMS, FILE_SHARDS, PASS_QUERIES, PASS_TERMS = 100_000, 16, 16_384, 1 << 18
+#: A pass is multiplied if it has no more distinct terms and no fewer queries.
+MATRIX_TERMS, MATRIX_QUERIES = 256, 64
 #: Scores are ranked as rounded; sums of floats and bounds of theirs may differ by less than this.
 SLACK, DIGITS = 1e-6, 6
 
@@ -89,7 +92,23 @@ class Asked:
     k1: float = 1.5
     b: float = 0.75
 
-    def impacts(self, term: int, weight: np.ndarray, size: np.ndarray) -> np.ndarray:
+    @property
+    def multiplied(self) -> bool:
+        own = np.concatenate([w for _, _, w in self.queries]) if self.queries else np.zeros(0)
+        return len(self.terms) <= MATRIX_TERMS and len(self.queries) >= MATRIX_QUERIES and bool((np.isfinite(own) & (own >= 0)).all())
+
+    def blocks(self) -> list[dense.Block]:
+        """The queries as rows of matrices, a column a term."""
+        found = []
+        for lo in range(0, len(self.queries), dense.BLOCK):
+            rows = np.arange(lo, min(lo + dense.BLOCK, len(self.queries)))
+            matrix = np.zeros((len(rows), len(self.terms)))
+            for i, (_, terms, own) in zip(rows - lo, self.queries[lo : lo + dense.BLOCK], strict=True):
+                np.add.at(matrix[i], terms, own)
+            found.append(dense.Block(rows, rows, matrix, len(self.terms)))
+        return found
+
+    def impacts(self, term: int | np.ndarray, weight: np.ndarray, size: np.ndarray) -> np.ndarray:
         """What documents of these sizes win by a term of this weight, before the query's own."""
         if self.mean is None:
             return weight * self.factor[term]
@@ -160,12 +179,43 @@ def _search_shard(row: dict[str, pa.Array], asked: Asked, best: _Best, itself: b
             best.add(q, ids[some], total[some])
 
 
+def _multiply_shard(row: dict[str, pa.Array], asked: Asked, blocks: list[dense.Block], best: list[dense.Best], place: dict | None) -> None:
+    """place: where each query stands, by its id; None if queries may find themselves."""
+    at = pc.fill_null(pc.index_in(row["terms"], asked.terms), -1).to_numpy(zero_copy_only=False)
+    starts, docs, weight, size = (row[c].to_numpy() for c in ("starts", "docs", "weights", "sizes"))
+    term = np.repeat(at, np.diff(starts))
+    docs, weight, term = docs[term >= 0], weight[term >= 0], term[term >= 0]
+    some, own = np.unique(docs, return_inverse=True)
+    if not len(some):
+        return
+    matrix = np.zeros((len(some), len(asked.terms)))
+    matrix[own, term] = asked.impacts(term, weight, size[docs])
+    ids = row["ids"].to_numpy(zero_copy_only=False)[some]
+    codes = np.array([place.get(i, -1) for i in ids.tolist()]) if place is not None else np.full(len(ids), -1)
+    for lo in range(0, len(ids), dense.CHUNK):
+        part = slice(lo, lo + dense.CHUNK)
+        for b, block in zip(best, blocks, strict=True):
+            dense.add_scored(b, block, matrix[part], ids[part], codes[part], positive=True)
+
+
 def _search(held, k: int, itself: bool, kinds: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(k)
+        asked, best = held.value, _Best(k)
+        blocks = asked.blocks() if asked.multiplied else []
+        near = [dense.Best(len(b.rows), k) for b in blocks]
+        place = None if itself else {q: i for i, (q, _, _) in enumerate(asked.queries)} if blocks else {}
         for b in batches:
             for i in range(b.num_rows):
-                _search_shard({c: b.column(c)[i].values for c in ("ids", "sizes", "terms", "starts", "docs", "weights")}, held.value, best, itself)
+                row = {c: b.column(c)[i].values for c in ("ids", "sizes", "terms", "starts", "docs", "weights")}
+                if blocks and np.isfinite(row["weights"].to_numpy()).all():
+                    _multiply_shard(row, asked, blocks, near, place)
+                else:
+                    _search_shard(row, asked, best, itself)
+        for block, b in zip(blocks, near, strict=True):
+            if b.held is not None:
+                query, score, ids = b.held
+                names = [asked.queries[i][0] for i in block.rows[query].tolist()]
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(names, kinds[0]), "point_id": pa.array(ids.tolist(), kinds[1]), "score": pa.array(score)})
         for q, (_, ids, sums) in best.held.items():
             yield pa.RecordBatch.from_pydict({"query_id": pa.array([q] * len(ids), kinds[0]), "point_id": pa.array(ids.tolist(), kinds[1]), "score": pa.array(sums)})
 
@@ -197,19 +247,24 @@ def topk(own: DataFrame, queries: DataFrame, k: int, bm25: tuple[float, float] |
     kinds = dict(queries.dtypes)["id"], dict(own.dtypes)["ids"][len("array<") : -1]
     term = dict(own.dtypes)["terms"][len("array<") : -1]
     passes = Passes(spark, "impact")
-    blocks = max(1, -(-queries.select("id").distinct().count() // PASS_QUERIES))
+    size = queries.agg(F.countDistinct("id").alias("n"), F.count(F.lit(1)).alias("terms")).first()
+    blocks = max(1, -(-size.n // PASS_QUERIES), -(-size.terms // PASS_TERMS))
     for number in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).select("id", "term", F.col("weight").cast("double").alias("weight"))
-        rows = part.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("terms")).collect()  # the queries of one pass
-        known = sorted({t.term for r in rows for t in r.terms})
-        place = {t: i for i, t in enumerate(known)}
-        asked = [(r.id, np.array([place[t.term] for t in r.terms]), np.array([t.weight for t in r.terms])) for r in rows]
+        # The queries of one pass.
+        rows = part.filter("term IS NOT NULL").groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("terms")).toArrow().combine_chunks()
+        names, lists = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns)
+        flat, cuts = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))[:-1]
+        coded = pc.dictionary_encode(flat.field("term"))
+        known = coded.dictionary.to_pylist()
+        places, weights = (np.split(x.to_numpy(zero_copy_only=False), cuts) for x in (coded.indices, flat.field("weight")))
+        asked = list(zip(names.to_pylist(), places, weights, strict=False))
         factor, mean = np.ones(len(known)), None
         if bm25:
             n, mean, df = _statistics(own, spark.createDataFrame([(t,) for t in known], f"term {term}"))
             count = np.array([df.get(t, 0) for t in known], float)
             factor = np.log(1 + (n - count + 0.5) / (count + 0.5))
-        held = spark.sparkContext.broadcast(Asked(pa.array(known, _arrow(term)), asked, factor, mean, *(bm25 or ())))
+        held = spark.sparkContext.broadcast(Asked(coded.dictionary, asked, factor, mean, *(bm25 or ())))
         arrow = tuple(_arrow(c) for c in kinds)
         found = own.select("ids", "sizes", "terms", "starts", "docs", "weights").mapInArrow(_search(held, k, itself, arrow), f"query_id {kinds[0]}, point_id {kinds[1]}, score double")
         passes.add(found)

@@ -321,3 +321,54 @@ def test_scenes_as_members_give_the_edges_between_their_chunks(spark):
     a = graph.expand(full, seeds.limit(3), 2)
     assert sorted(map(tuple, graph.expand(compact, seeds.limit(3), 2, members=known).collect())) == sorted(map(tuple, a.collect()))
     assert compact.count() < 60 and graph.scene_edge_count(known.limit(0)).count() == 0
+
+
+# Many queries of few terms ----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("itself", [False, True])
+def test_many_queries_of_few_terms_are_multiplied(monkeypatch, itself):
+    """Every query looked at each shard by itself, which took a task queries times shards passes over all documents of a shard."""
+    monkeypatch.setattr(impact, "_search_shard", None)
+    monkeypatch.setattr(dense, "BLOCK", 32)
+    monkeypatch.setattr(dense, "CHUNK", 50)
+    rng = np.random.default_rng(3)
+    n, terms, k = 300, 40, 7
+    weights = np.round(rng.random((n, terms)), 1) * (rng.random((n, terms)) < 0.1)
+    weights[: n // 3] = weights[n // 3 : 2 * (n // 3)]  # ties
+    weights[0, 0], weights[1, 0] = 1e-25, 1e-25  # far below single precision once multiplied
+    lists = [np.flatnonzero(w) for w in weights]
+    made = impact._pack(pa.array(range(n)), pa.array(lists), pa.array([w[at] for w, at in zip(weights, lists, strict=True)]))
+    columns = {c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v)) for c, v in made.items()}
+    queries = [(q, lists[q], weights[q][lists[q]]) for q in range(0, n, 3)]
+    asked = impact.Asked(pa.array(range(terms)), queries, np.ones(terms))
+    out = list(impact._search(SimpleNamespace(value=asked), k, itself, ("int64", "int64"))(iter([pa.RecordBatch.from_pydict(columns)])))
+    found = {}
+    for b in out:
+        for q, p, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            found.setdefault(q, []).append((-s, p))
+    products = weights @ weights.T
+    for q, _, _ in queries:
+        rows = [(-round(products[q, p], 6) + 0.0, p) for p in range(n) if products[q, p] > 0 and (itself or p != q)]
+        want = sorted(rows)[:k]
+        got = sorted(found.get(q, []))
+        assert [p for _, p in got] == [p for _, p in want]
+        assert np.allclose([s for s, _ in got], [s for s, _ in want])
+
+
+def test_dense_search_scores_vectors_of_any_length(monkeypatch):
+    """Products in single precision lose no point, whatever the vectors' lengths, and scores are those in double."""
+    rng = np.random.default_rng(4)
+    for scale in (1.0, 300.0, 1e25):
+        points, asked = rng.normal(size=(500, 32)) * scale, rng.normal(size=(40, 32)) * scale
+        points[100:200] = points[:100] * (1 + 1e-9)
+        block, best = dense.Block(np.arange(40), np.arange(40), asked, 32), dense.Best(40, 10)
+        for lo in range(0, 500, 100):
+            dense.add_scored(best, block, points[lo : lo + 100], np.arange(lo, lo + 100), np.full(100, -1))
+        query, score, ids = best.held
+        products = dense.rounded(asked @ points.T)
+        for q in range(40):
+            want = sorted((-products[q, p], p) for p in range(500))[:10]
+            assert np.allclose(score[query == q], [-s for s, _ in want], rtol=1e-12)
+            if scale == 1.0:
+                assert ids[query == q].tolist() == [p for _, p in want]
