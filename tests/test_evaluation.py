@@ -1,9 +1,12 @@
 """Logged answers through both queues, by the engine and by the command line."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tempora.operators import evaluation
 from tempora.plans import cli
 from tempora.plans.engine import Engine
 
@@ -126,3 +129,26 @@ def test_two_publications_of_one_video_leave_one_visible(spark, tmp_path):
     two.publish(chunks, meta, build_graph=False)
     assert sorted(r.attempt for r in one.read("points").select("attempt").distinct().collect()) == [1, 2]
     assert one.visible().count() == chunks.count() and one.visible().select("attempt").distinct().first().attempt == 2
+
+
+def test_the_grid_looks_at_a_query_once(spark):
+    """Candidates were repeated and ranked for each of the 66 points of the grid."""
+    rng = random.Random(5)
+    parts = [(q, p, s, 1 / (60 + rng.randint(1, 4)), p % 4) for q in range(9) for p in rng.sample(range(30), 12) for s in range(3) if rng.random() < 0.6]
+    targets = [(q, x) for q in range(11) for x in ({q % 4, 3} if q % 2 else {q % 4})] + [(1, 1), (2, None)]
+    rows = spark.createDataFrame(parts, "query_id long, point_id long, space int, rrf double, key int")
+    grid = evaluation.grid(spark, 0.25)
+    made = evaluation.grid_mrr(rows, spark.createDataFrame(targets, "query_id long, expected int"), grid)
+    assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r.alpha, r.beta): r.mean_mrr for r in made.collect()}
+    assert len(got) == grid.count()
+    for (a, b), mean in got.items():
+        total = 0.0
+        for q in range(11):
+            scores = {}
+            for x, p, s, r, _ in parts:
+                if x == q:
+                    scores[p] = scores.get(p, 0.0) + r * (a, b, max(0.0, 1 - a - b))[s]
+            order = sorted(scores, key=lambda p: (-round(scores[p], 10), p))
+            total += next((1 / (i + 1) for i, p in enumerate(order) if (q, p % 4) in targets), 0.0)
+        assert mean == pytest.approx(total / 11, abs=1.1e-5)
