@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -80,7 +81,7 @@ class Vocabulary(dict):
 
     def ranks(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of all words, and each word's place in its document."""
-        flat = np.fromiter((self[w] for d in docs for w in d), np.int32, sum(map(len, docs)))
+        flat = np.fromiter(map(self.__getitem__, chain.from_iterable(docs)), np.int32, sum(map(len, docs)))
         return flat, np.concatenate([np.arange(len(d), dtype=np.int32) for d in docs]) if docs else flat
 
     def symbols(self, ranks: np.ndarray, head: int) -> np.ndarray:
@@ -111,9 +112,14 @@ def _earlier(symbols: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
 def features(symbols: np.ndarray, place: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     """Four of the slots for each token: the word before, the pair before, the words two and three before."""
     one, two, three = (_earlier(symbols, place, k) for k in (1, 2, 3))
-    mixed = np.stack([one * 4 + 1, (one * 1_000_003 + two) * 4 + 2, two * 4 + 3, three * 4], axis=1).astype(np.uint64)
-    mixed = (mixed + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(40)).astype(np.int64) % slots
+    mixed = np.stack([one * 4 + 1, (one * 1_000_003 + two) * 4 + 2, two * 4 + 3, three * 4], axis=1).view(np.uint64)
+    mixed += np.uint64(0x9E3779B97F4A7C15)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0x94D049BB133111EB)
+    mixed >>= np.uint64(40)
+    mixed &= np.uint64(slots - 1)  # slots are a power of two
+    return mixed.view(np.int64)
 
 
 @dataclass
@@ -132,13 +138,33 @@ class Model:
     def of_class(self, ranks: np.ndarray) -> np.ndarray:
         return np.where(ranks < self.head, self.classes[np.minimum(ranks, self.head - 1)], self.n_classes - 1)
 
-    def log_classes(self, slots: np.ndarray) -> np.ndarray:
-        logits = self.weights[slots[:, 0]] + self.bias
+    def logits(self, slots: np.ndarray) -> np.ndarray:
+        """Logits of all classes, the largest being 0."""
+        out = self.weights.take(slots[:, 0], axis=0)
+        out += self.bias
         for k in range(1, slots.shape[1]):  # one table of tokens at a time stays in the processor's cache
-            logits += self.weights[slots[:, k]]
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return logits
+            out += self.weights.take(slots[:, k], axis=0)
+        out -= out.max(axis=1, keepdims=True)
+        return out
+
+    def shares(self, slots: np.ndarray) -> np.ndarray:
+        """p(class | context) of all classes."""
+        out = self.logits(slots)
+        np.exp(out, out=out)
+        out /= out @ np.ones((self.n_classes, 1), out.dtype)
+        return out
+
+    def log_classes(self, slots: np.ndarray) -> np.ndarray:
+        out = self.logits(slots)
+        out -= np.log(np.exp(out).sum(axis=1, keepdims=True))
+        return out
+
+    def log_class(self, slots: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log p(class | context) of one class for each context."""
+        out = self.logits(slots)
+        own = out[np.arange(len(out)), target]
+        np.exp(out, out=out)
+        return own - np.log(out @ np.ones(self.n_classes, out.dtype))
 
     @property
     def tail(self) -> tuple[float, float]:
@@ -204,11 +230,15 @@ def cooccurrences(docs: DataFrame, vocabulary: Vocabulary, head: int) -> np.ndar
         for _, words in _groups(batches):
             any_doc = True
             ranks, place = shared.value.ranks(words)
+            cells = []
             for k in (1, 2):
                 before = _earlier(ranks, place, k)
                 for a, w in ((before, ranks), (ranks, before)):
-                    ok = (a >= 0) & (a < ANCHORS) & (w >= 0) & (w < head)
-                    total += np.bincount(w[ok] * ANCHORS + a[ok], minlength=head * ANCHORS)
+                    near = np.flatnonzero((a >= 0) & (a < ANCHORS))
+                    a, w = a[near], w[near]
+                    ok = (w >= 0) & (w < head)
+                    cells.append(w[ok].astype(np.int64) * ANCHORS + a[ok])
+            total += np.bincount(np.concatenate(cells), minlength=head * ANCHORS)
         if any_doc:
             yield pd.DataFrame({"part": range(PARTS), "data": _parts(total, np.int64)})
 
@@ -237,7 +267,7 @@ def word_classes(near: np.ndarray, counts: np.ndarray, classes: int) -> np.ndarr
 
 def _steps(model: Model, slots: np.ndarray, target: np.ndarray, squares: np.ndarray, used: np.ndarray) -> None:
     """One AdaGrad step on a batch."""
-    p = np.exp(model.log_classes(slots))
+    p = model.shares(slots)
     p[np.arange(len(p)), target] -= 1
     model.bias -= RATE * p.mean(axis=0)
     flat = slots.ravel()
@@ -245,7 +275,7 @@ def _steps(model: Model, slots: np.ndarray, target: np.ndarray, squares: np.ndar
     ordered = flat[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     rows = ordered[first]
-    gradient = np.add.reduceat(p[order // slots.shape[1]], first, axis=0)
+    gradient = np.add.reduceat(p.take(order // slots.shape[1], axis=0), first, axis=0)
     used[rows] += np.diff(np.append(first, len(ordered)))
     squares[rows] += (gradient**2).sum(axis=1)
     model.weights[rows] -= RATE / np.sqrt(squares[rows] + 1.0)[:, None] * gradient
@@ -273,7 +303,7 @@ def _train_round(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray,
         if seen:
             change = (own.weights - m.weights) * used[:, None]
             yield pd.DataFrame({
-                "part": range(PARTS), "change": _parts((own.weights - m.weights) * used[:, None], np.float32), "used": _parts(used, np.float32),
+                "part": range(PARTS), "change": _parts(change, np.float32), "used": _parts(used, np.float32),
                 "pairs": _parts(pairs, np.int64), "bias": _parts(np.append((own.bias - m.bias) * seen, seen), np.float64),
             })
 
@@ -317,12 +347,23 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     return model, counts
 
 
+def _tails(docs: list[list[bytes]], ranks: np.ndarray, starts: np.ndarray, size: int) -> list[list[bytes]]:
+    """The words of each document that are beyond the dictionary."""
+    out: list[list[bytes]] = [[] for _ in docs]
+    at = np.flatnonzero(ranks >= size)
+    own = np.searchsorted(starts, at, side="right") - 1
+    for d, i in zip(own.tolist(), (at - starts[own]).tolist(), strict=True):
+        out[d].append(docs[d][i])
+    return out
+
+
 def _scored(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Model = shared.value
         log10 = np.log(10)
         rest = np.log(m.total + 0.5 * (m.distinct + 1))
         tail_total = np.log(m.tail[1])
+        of_word = np.log(m.counts + 0.5)
         for rows, words in _groups(batches):
             ranks, place = m.vocabulary.ranks(words)
             target = m.of_class(ranks)
@@ -330,18 +371,18 @@ def _scored(shared):
             score = np.empty(len(ranks))
             for at in range(0, len(ranks), BATCH):
                 part = slice(at, at + BATCH)
-                score[part] = np.take_along_axis(m.log_classes(slots[part]), target[part, None], axis=1)[:, 0]
+                score[part] = m.log_class(slots[part], target[part])
             before = _earlier(target, place, 1)
             before[before < 0] = m.n_classes - 1
             known = ranks < m.vocabulary.size
-            own = np.log(m.counts[np.minimum(ranks, m.vocabulary.size - 1)] + 0.5)
+            own = of_word[np.minimum(ranks, m.vocabulary.size - 1)]
             inside = ranks < m.head
             score += np.where(inside, m.inner[before, np.minimum(ranks, m.head - 1)], np.where(known, own, 0.0) - tail_total)
             base = np.where(known, own, 0.0) - rest
             starts = np.flatnonzero(place == 0)
             yield pd.DataFrame({
                 "doc_id": rows.doc_id, "n_tokens": np.diff(np.append(starts, len(ranks))), "n_known": np.add.reduceat(known.astype(np.int64), starts),
-                "base": np.add.reduceat(base, starts) / log10, "score": np.add.reduceat(score, starts) / log10, "tail": [[w for w in d if w not in m.vocabulary] for d in words],
+                "base": np.add.reduceat(base, starts) / log10, "score": np.add.reduceat(score, starts) / log10, "tail": _tails(words, ranks, starts, m.vocabulary.size),
             })
 
     return run

@@ -95,3 +95,17 @@ def test_toxicity_without_labels(spark):
     scores = {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()}
     assert len(scores) == 1
     assert toxicity.score(frame(spark, []), toxicity.fit(frame(spark, []), labels)).collect() == []
+
+
+def test_a_class_is_scored_without_the_others_being_normalised():
+    """Scoring took the logarithms of all classes, and looked each word up twice to find those beyond the dictionary."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}".encode() for i in range(30)]
+    model = lm.Model(lm.Vocabulary(words), np.arange(30, 0, -1), 465, 30, 20, rng.integers(0, 5, 20).astype(np.int32), 6, rng.normal(size=(64, 6)).astype(np.float32), rng.normal(size=6).astype(np.float32))
+    slots, target = rng.integers(0, 64, (500, 4)), rng.integers(0, 6, 500)
+    every = model.log_classes(slots)
+    assert np.allclose(model.log_class(slots, target), every[np.arange(500), target], atol=1e-5)
+    assert np.allclose(model.shares(slots), np.exp(every), atol=1e-6)
+    docs = [[b"w1", b"new", lm.END], [lm.END], [b"w2"], [b"new", b"w29", b"other"]]
+    ranks, place = model.vocabulary.ranks(docs)
+    assert lm._tails(docs, ranks, np.flatnonzero(place == 0), 30) == [[b"new", lm.END], [lm.END], [], [b"new", b"other"]]
