@@ -270,7 +270,7 @@ def seen_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     rows stay, and the join after it decides alone.
     """
     n = wanted.count()
-    bits = 1 << max(10, min(FILTER_BITS, (16 * n).bit_length()))
+    bits = 1 << max(10, min(FILTER_BITS, (64 * n).bit_length()))
     at = F.pmod(F.col(wanted.columns[0]), F.lit(bits))
     set_bits = wanted.select(F.floor(at / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod({wanted.columns[0]}, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     words = np.zeros(bits // 64, np.int64)
@@ -324,7 +324,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_ids = in_pairs.unionByName(buckets.filter(F.col("n") > FEW).select("id")).distinct()
     wanted = nodes.join(open_ids, "id", "left_semi").select("id", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     wanted = stage(wanted, "wanted")
-    texts = seen_in(keyed, "text_hash", wanted.select(F.col("_hash")))
+    # By id and text: copies of a wanted text stay where they are.
+    texts = seen_in(keyed.withColumn("row_hash", F.xxhash64("doc_id", "text_hash")), "row_hash", wanted.select(F.xxhash64("_id", "_hash").alias("_row"))).drop("row_hash")
     texts = texts.join(wanted, keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     sets = stage(texts.select("id", "text").mapInArrow(in_slices(_sets(n), _SETS), "id long, shingles array<long>"), "sets")
     if not sets.groupBy("id").count().filter("count > 1").isEmpty():  # rows of one id and text, as far as there are any
