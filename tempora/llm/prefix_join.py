@@ -159,9 +159,15 @@ def _sets(n: int):
     return run
 
 
+def sets_of(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets that `ids`, a staged table of one column, may name, and few others: the rest is not shuffled to a join that drops it."""
+    wanted = ids.select(F.xxhash64(ids.columns[0]).alias("_id_hash"))
+    return seen_in(sets.withColumn("id_hash", F.xxhash64("id")), "id_hash", wanted).drop("id_hash")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that are similar, counted on their whole sets."""
-    left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    """Of staged pairs (a, b) those that are similar, counted on their whole sets."""
+    left, right = (sets_of(pairs.select(x), sets).select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -190,7 +196,7 @@ def _block_links(percent: int):
 
 
 def blocked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different labels within large buckets: bucket, id, label, size, n (the bucket's members).
+    """Links between different labels within large buckets: bucket, id, label, size, staged.
 
     A member's block is its class of sizes and a hash within it; a class ends where the next size could not be similar to its
     first, so similar sets lie in one class or in two that follow each other. A task holds two blocks, and a set travels once for each block it meets.
@@ -214,7 +220,7 @@ def blocked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     same = F.when((F.col("cuts") > 1) | (F.col("labels") > 1), same).otherwise(none)
     up = F.when(F.col("cuts_above") > 0, F.transform(upto(F.col("cuts_above")), lambda k: at(F.col("band"), F.col("i"), -1 - k, F.lit(0)))).otherwise(none)
     down = F.when(F.col("cuts_below") > 0, F.transform(upto(F.col("cuts_below")), lambda k: at(F.col("band") - 1, k, -1 - F.col("i"), F.lit(1)))).otherwise(none)
-    dealt = member.select("bucket", "id", "label", F.explode(F.concat(same, up, down)).alias("at")).join(sets, "id").select("bucket", "at.*", "id", "label", "shingles")
+    dealt = member.select("bucket", "id", "label", F.explode(F.concat(same, up, down)).alias("at")).join(sets_of(members.select("id"), sets), "id").select("bucket", "at.*", "id", "label", "shingles")
     return dealt.groupBy("bucket", "low", "x", "y").applyInPandas(_block_links(percent), "a long, b long")
 
 
@@ -254,11 +260,13 @@ def links(buckets: DataFrame, star: DataFrame, few: DataFrame, sets: DataFrame,
     of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
     label = lambda x: F.coalesce(f"l{x}", x)
     open_pairs = few.join(star, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(label("a") != label("b")).select("a", "b")
+    open_pairs = stage(open_pairs, "open-pairs")
 
     large = buckets.filter(F.col("n") > FEW).select("bucket", "id", F.col("m.size").alias("size"))
     marked = stage(large.join(labels, large.id == labels.node, "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label")), "marked")
     mixed = marked.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("bucket")
-    more = verified(open_pairs, sets, percent).unionByName(blocked(marked.join(stage(mixed, "mixed"), "bucket"), sets, percent))
+    members = stage(marked.join(stage(mixed, "mixed"), "bucket"), "open-members")
+    more = verified(open_pairs, sets, percent).unionByName(blocked(members, sets, percent))
     more = stage(more, "more-links")
     return labels if more.isEmpty() else components(edges.unionByName(more))
 
@@ -306,12 +314,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     keyed = rows.withColumn("text_hash", F.xxhash64("text"))
     found = keyed.mapInArrow(in_slices(_prefixes(held, n, percent), _PREFIXES), "node binary, doc_id long, text_hash long, size int, prefix array<long>, low long, high long")
-    nodes = stage(found.dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    prefixes = stage(found.dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id()), "prefixes")
     held.unpersist()
 
-    spread = nodes.select("id", F.posexplode("prefix").alias("rank", "bucket"))
+    spread = prefixes.select("id", F.posexplode("prefix").alias("rank", "bucket"))
     shared = stage(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
     met = stage(spread.join(shared, "bucket"), "met")
+    nodes = stage(prefixes.drop("prefix"), "nodes")  # prefixes are most of the table, and all that follows is without them
+    discard(prefixes)
     own = met.join(nodes.select("id", "size", "low", "high"), "id")
     before = F.coalesce(F.count_if(F.col("n") > FEW).over(Window.partitionBy("id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     buckets = stage(own.withColumn("large", before).select("bucket", "id", "n", F.struct("size", "rank", "large", "low", "high").alias("m")), "buckets")

@@ -316,3 +316,15 @@ def test_the_filter_of_wanted_rows_leaves_copies_where_they_are(spark):
     wanted = rows.filter("id % 20 = 0").select(F.col("key").alias("_row"))
     found = {r.id for r in prefix_join.seen_in(rows, "key", wanted).collect()}
     assert found >= set(range(0, 20000, 20)) and len(found) < 1000 + 19000 / 50
+
+
+def test_pairs_are_verified_on_the_sets_that_they_name(spark, tmp_path):
+    """All sets were shuffled to each join that looks pairs up."""
+    sets = spark.range(20000).select("id", F.sequence(F.col("id") % 7, F.col("id") % 7 + 99).alias("shingles"))
+    spark.createDataFrame([(k, k + 7 if k % 2 else k + 3) for k in range(0, 400, 5)], "a long, b long").write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    own = {r.id for r in prefix_join.sets_of(pairs.select("a"), sets).select("id").collect()}
+    assert own >= set(range(0, 400, 5)) and len(own) < 80 + 20000 / 50
+    found = prefix_join.verified(pairs, sets, 95)
+    assert {(r.a, r.b) for r in found.collect()} == {(k, k + 7) for k in range(5, 400, 10)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") >= 2
