@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tempora.llm import bpe, decontaminate, exact_dedup, minhash, toxicity
 from tempora.llm.common import stage, table
 
+#: Words of the coder's dictionary. It passes through the driver, which holds five stages' plans here; a word beyond it is folded where it stands.
+DICTIONARY_WORDS = 100_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold; learns from labels of the documents that are not held out.
@@ -41,7 +44,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     """doc_id, source, lang, ids, n_tokens, and whether decoding gives the text's bytes back; a null text has no ids."""
     coder = bpe.default_tokenizer(spark)
-    out = coder.encode(docs)
+    out = coder.encode(docs, dictionary_words=DICTIONARY_WORDS)
     same = coder.decode(F.col("ids")) == F.coalesce("text", F.lit("")).cast("binary")
     return out.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("decodes"))
 

@@ -117,3 +117,12 @@ def test_bpe_query_matches_the_library(spark, world, library):
         want[i, len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha((t or "").encode())] += 1
     got = driver.queries()["op10_byte_bpe"](spark, top).collect()
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
+
+
+def test_the_dictionary_that_passes_through_the_driver_is_small(spark, world, monkeypatch):
+    top, rows, _ = world
+    sizes, own = [], bpe.Bpe.dictionary
+    monkeypatch.setattr(bpe.Bpe, "dictionary", lambda self, docs, text_col, size: sizes.append(size) or own(self, docs, text_col, size))
+    out = pipeline.encode(spark, frame(spark, rows[:20]), top)
+    assert out.filter("decodes").count() == len(rows[:20])
+    assert len(sizes) == 1 and sizes[0] <= 100_000
